@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tradewind.llm import host_rules, simhash
+from tradewind.llm import decontaminate, host_rules, pii, simhash
 
 
 def queries() -> dict:
     return {
+        "op1_decontaminate": decontaminate.op1_decontaminate,
         "op6_simhash": simhash.op6_simhash,
         "op7_host_rules": host_rules.op7_host_rules,
+        "op9_pii": pii.op9_pii,
     }
 
 
