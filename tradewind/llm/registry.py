@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tradewind.llm import decontaminate, host_rules, pii, simhash
+from tradewind.llm import decontaminate, host_rules, pii, simhash, tokens
 
 
 def queries() -> dict:
     return {
         "op1_decontaminate": decontaminate.op1_decontaminate,
+        "op5_tokens": tokens.op5_tokens,
         "op6_simhash": simhash.op6_simhash,
         "op7_host_rules": host_rules.op7_host_rules,
         "op9_pii": pii.op9_pii,
