@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tradewind.llm import decontaminate, host_rules, pii, simhash, tokens
+from tradewind.llm import decontaminate, host_rules, pii, reshard, simhash, tokens
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op5_tokens": tokens.op5_tokens,
         "op6_simhash": simhash.op6_simhash,
         "op7_host_rules": host_rules.op7_host_rules,
+        "op8_reshard": reshard.op8_reshard,
         "op9_pii": pii.op9_pii,
     }
 
