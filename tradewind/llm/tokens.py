@@ -26,15 +26,6 @@ ODD_SPACE = re.compile(r"\s\s|[^\S \n]")
 _encoders: dict[str, Encoder] = {}
 
 
-class Pieces(dict):
-    """Piece -> its ids as bytes; what is not remembered is looked up in `rest`."""
-
-    rest: dict[str, bytes] = {}
-
-    def __missing__(self, piece: str) -> bytes:
-        return self.rest[piece]
-
-
 class Encoder:
     """The tokenizer with a memory of pieces.
 
@@ -50,7 +41,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.line_feed = self._whole("\n")
-        self.known = Pieces({"": b"", "\n": self.line_feed})
+        self.known = {"": b"", "\n": self.line_feed}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -82,11 +73,11 @@ class Encoder:
                 split.append(None)
             else:
                 split.append(text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0"))
-        known.rest = self._learn([p for p in set().union(*filter(None, split)) if p not in known])
+        new = self._learn(list(set().union(*filter(None, split)).difference(known)))
+        known.update(new)
         out = [self._whole(t) + end if p is None else b"".join(map(known.__getitem__, p)) + end for t, p in zip(texts, split, strict=True)]
-        if len(known) < KNOWN_PIECES:
-            known.update(list(known.rest.items())[: KNOWN_PIECES - len(known)])
-        known.rest = {}
+        for p in list(new)[: max(0, len(known) - KNOWN_PIECES)]:
+            del known[p]
         return out
 
 
@@ -134,26 +125,33 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc
     }).orc(path)
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """All rows of the files plus `start`, the number of ids in all documents before it.
+def with_start(rows: DataFrame, stored: DataFrame) -> DataFrame:
+    """rows of the files, or some of them, plus `start`: the number of ids in all documents before.
 
-    Stripes are read in parallel. The global start is the shard's offset, from one sum a shard, plus
-    the stored position within the shard; ids are not read for it.
+    It is the shard's offset, from one sum a shard over `stored` (all rows), plus the stored position within
+    the shard; ids are not read for it.
     """
-    rows = spark.read.orc(path)
-    sums = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
+    sums = stored.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     # one row a file
     before = sums.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
     return rows.join(before, "shard").withColumn("start", F.col("before") + F.col("shard_start")).drop("before")
 
 
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of the files plus `start`. Stripes are read in parallel."""
+    stored = spark.read.orc(path)
+    return with_start(stored, stored)
+
+
 def find_documents(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
     """The rows of a few documents: the filter reaches ORC, which skips stripes by statistics and Bloom filter."""
     return spark.read.orc(path).where(F.col("doc_id").isin(ids))
 
 
 def with_checksum(rows: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) -> ids_crc32 in place of ids."""
+    """(doc_id, shard, shard_start, n_tokens, ids) -> ids_crc32 in place of ids, which are long gone before any shuffle."""
+
+    kept = ["doc_id", "shard", "shard_start", "n_tokens"]
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,12 +159,11 @@ def with_checksum(rows: DataFrame) -> DataFrame:
             flat, at = ids.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False), ids.offsets.to_numpy()
             crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(crc, type=pa.int64())],
-                names=["doc_id", "start", "n_tokens", "ids_crc32"],
+                [*(batch.column(c) for c in kept), pa.array(crc, type=pa.int64())], names=[*kept, "ids_crc32"]
             )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "start", "n_tokens", "ids").mapInArrow(check, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+    return rows.select(*kept, "ids").mapInArrow(check, f"doc_id {kind}, shard int, shard_start long, n_tokens long, ids_crc32 long")
 
 
 def op5_tokens(spark, sf_dir: str) -> DataFrame:
@@ -174,4 +171,5 @@ def op5_tokens(spark, sf_dir: str) -> DataFrame:
 
     path = scratch_path(spark, "tokens")
     write_tokens(read_table(spark, sf_dir, "documents"), path, public_tokenizers.path(VOCABULARY))
-    return with_checksum(read_tokens(spark, path))
+    stored = spark.read.orc(path)
+    return with_start(with_checksum(stored), stored).select("doc_id", "start", "n_tokens", "ids_crc32")
