@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tradewind.llm import decontaminate, host_rules, langid, pii, reshard, simhash, tokens, toxicity
+from tradewind.llm import brown, decontaminate, host_rules, langid, pii, reshard, simhash, tokens, toxicity
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op7_host_rules": host_rules.op7_host_rules,
         "op8_reshard": reshard.op8_reshard,
         "op9_pii": pii.op9_pii,
+        "op10_brown": brown.op10_brown,
     }
 
 
