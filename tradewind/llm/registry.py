@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tradewind.llm import brown, decontaminate, host_rules, langid, pii, reshard, simhash, tokens, toxicity
+from tradewind.llm import brown, decontaminate, host_rules, langid, mixing, pii, reshard, simhash, tokens, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_decontaminate": decontaminate.op1_decontaminate,
         "op2_toxicity": toxicity.op2_toxicity,
+        "op3_mixing": mixing.op3_mixing,
         "op4_langid": langid.op4_langid,
         "op5_tokens": tokens.op5_tokens,
         "op6_simhash": simhash.op6_simhash,
