@@ -110,6 +110,12 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text") -> DataFram
     empty texts have no words and fail. Every row is judged, repeated rows too; an empty table gives
     none. Columns of docs keep their names, whatever they are (only `verdict` is replaced).
     """
+    others = [F.col(f"row.`{c}`") for c in docs.columns if c != "verdict"]
+    return _judged(docs, host, text).select(*others, "verdict")
+
+
+def _judged(docs: DataFrame, host: str, text: str) -> DataFrame:
+    """(row: struct of docs, verdict)."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(host).alias("h"), F.col(text).alias("t"))
     marked = measured(rows, "t").drop("t")
     counts = materialize(
@@ -117,7 +123,7 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text") -> DataFram
         .groupBy("h").agg(F.count("*").alias("n"), F.count_if(any_failed()).alias("failed")),
         "hosts",
     )
-    return _joined(marked, counts).select("row.*", "verdict")
+    return _joined(marked, counts).select("row", "verdict")
 
 
 def _joined(marked: DataFrame, counts: DataFrame) -> DataFrame:
@@ -129,7 +135,7 @@ def _joined(marked: DataFrame, counts: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
     """The rows of docs that judge() keeps, with the columns of docs."""
-    return judge(docs, host, text).where("verdict.kept").select([f"`{c}`" for c in docs.columns])
+    return _judged(docs, host, text).where("verdict.kept").select("row.*")
 
 
 def op7_host_rules(spark, sf_dir: str) -> DataFrame:
