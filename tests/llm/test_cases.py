@@ -136,8 +136,8 @@ def test_langid(spark, odd_docs, no_docs):
     assert model.predict("дети")[0] == "ru" and model.predict("1234 !?")[0] == "und" and model.predict(None)[0] == "und"
     mixed = " ".join(en * 3 + fr * 3)
     assert [s[2] for s in model.spans(mixed)] == ["en", "fr"]
-    table = np.array([model.word(w) for w in langid.WORD.findall(mixed)])
     words, path = model.label(mixed)
+    table = np.array([model.known[w] for w in words])
     cost = lambda p: table[np.arange(len(p)), p].sum() - langid.SWITCH * np.count_nonzero(np.diff(p))
     rng = np.random.default_rng(1)
     assert all(cost(path) >= cost(np.sort(rng.integers(0, 3, len(words)))) - 1e-9 for _ in range(200))

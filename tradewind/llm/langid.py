@@ -20,7 +20,7 @@ FOLDS, HELD_FOLD = 4, 2
 #: Documents of one language that the model is fitted on at most: those of smallest hash of the id.
 TRAIN_DOCS = 1_500
 #: Character n-grams of a word with its ends marked, and how much is added to each count.
-ORDERS, ADD = (1, 2, 3, 4), 0.2
+ORDERS, ADD = (2, 3, 4), 0.2
 #: The most frequent words of a language that count as a feature of their own.
 COMMON_WORDS = 5_000
 #: Price of a change of language between two words, in natural log units.
@@ -52,7 +52,8 @@ def script(word: str) -> str:
 
 
 def grams(word: str) -> list[str]:
-    marked = f"<{word.lower()}>"
+    """Of a lower-cased word."""
+    marked = f"<{word}>"
     return [marked[i : i + n] for n in ORDERS for i in range(len(marked) - n + 1)]
 
 
@@ -72,75 +73,80 @@ class Languages:
             counts.append(mine)
             words.append(dict(found.most_common(COMMON_WORDS)))
             scripts.append({s for s, n in shapes.items() if n >= MIN_SHARE * max(1, found.total())})
-        self.scores: dict[str, np.ndarray] = {}
         gram_names = sorted(set().union(*counts))
         totals = [[sum(n for g, n in c.items() if len(g) == k) + ADD * len(gram_names) for k in ORDERS] for c in counts]
-        self.unseen = np.array([[-math.log(t[k] / ADD) for t in totals] for k in range(len(ORDERS))])
-        for g in gram_names:
-            k = len(g) - 1
-            self.scores[g] = np.array([math.log((c.get(g, 0) + ADD) / t[k]) for c, t in zip(counts, totals, strict=True)]) - self.unseen[k]
+        #: Row of each n-gram in `table`; the first rows are for unseen ones of each order.
+        self.row = {g: i for i, g in enumerate(gram_names, len(ORDERS))}
+        unseen = [[math.log(ADD / t[k]) for t in totals] for k in range(len(ORDERS))]
+        seen = [[math.log((c.get(g, 0) + ADD) / t[len(g) - ORDERS[0]]) for c, t in zip(counts, totals, strict=True)] for g in gram_names]
+        self.table = np.array(unseen + seen, dtype=np.float64).reshape(len(unseen) + len(seen), len(self.names))
         sums = [sum(w.values()) + 1 for w in words]
-        self.common = {
-            w: np.array([math.log((m.get(w, 0) + 0.5) / s) for m, s in zip(words, sums, strict=True)])
-            for w in set().union(*words)
-        }
+        common = sorted(set().union(*words))
+        self.common = {w: i for i, w in enumerate(common, 1)}
+        logs = [[math.log((m.get(w, 0) + 0.5) / s) for m, s in zip(words, sums, strict=True)] for w in common]
+        self.common_table = np.array([[0.0] * len(self.names), *logs], dtype=np.float64).reshape(1 + len(logs), len(self.names))
         every = set().union(*scripts) if scripts else set()
         self.allowed = {s: np.array([s in m for m in scripts]) for s in every}
         self.known: dict[str, np.ndarray] = {}
 
-    def word(self, word: str) -> np.ndarray:
-        """Log scores by language, 0 for the best; languages that do not use the word's script stand CLIP below.
+    def learn(self, words: list[str]) -> None:
+        """Remember the scores of new words, which are in lower case, by language.
 
-        Only the highest orders' n-grams weigh in fully: each order's sum is averaged over the orders. A script that
-        no language uses says nothing: all are 0.
+        The best language has 0 and the rest stand below, CLIP at most; so do languages that do not use the script of the
+        word. A script that no language uses says nothing: all are 0. n-gram sums are averaged over the orders.
         """
-        allowed = self.allowed.get(script(word))
-        if allowed is None:
-            return np.zeros(len(self.names))
-        if allowed.sum() == 1:
-            return np.where(allowed, 0.0, -CLIP)
-        total = np.zeros(len(self.names))
-        for g in grams(word):
-            s = self.scores.get(g)
-            total += self.unseen[len(g) - 1] if s is None else s + self.unseen[len(g) - 1]
-        total /= len(ORDERS)
-        if (c := self.common.get(word.lower())) is not None:
-            total = total + c
-        total -= total[allowed].max()
-        return np.where(allowed, np.clip(total, -CLIP, 0.0), -CLIP)
+        if not words:
+            return
+        get, ids, starts = self.row.get, [], []
+        for w in words:
+            starts.append(len(ids))
+            ids += [get(g, len(g) - ORDERS[0]) for g in grams(w)]
+        total = np.add.reduceat(self.table[ids], starts, axis=0) / len(ORDERS)
+        total += self.common_table[[self.common.get(w, 0) for w in words]]
+        none, every = np.zeros(len(self.names), dtype=bool), self.allowed
+        allowed = np.array([every.get(script(w), none) for w in words])
+        top = np.where(allowed, total, -np.inf).max(axis=1, keepdims=True)
+        score = np.where(allowed, np.clip(total - np.where(np.isfinite(top), top, 0.0), -CLIP, 0.0), -CLIP)
+        score[~allowed.any(axis=1)] = 0.0
+        self.known.update(zip(words, score, strict=True))
 
     def label(self, text: str | None) -> tuple[list[str], np.ndarray]:
         """The words of a text and the number of the language of each, by Viterbi."""
-        words = WORD.findall(text or "")
+        words = WORD.findall((text or "").lower())
         if not words or not self.names:
             return words, np.zeros(0, dtype=np.int64)
         known = self.known
         if len(known) > KNOWN_WORDS:
             known.clear()
-        for w in set(words):
-            if w not in known:
-                known[w] = self.word(w)
-        table = np.array([known[w] for w in words])
+        distinct = list(dict.fromkeys(words))
+        self.learn([w for w in distinct if w not in known])
+        number = dict(zip(distinct, range(len(distinct))))
+        table = np.array([known[w] for w in distinct])[[number[w] for w in words]]
         best = int(np.argmax(table.sum(axis=0)))
-        gain = table - table[:, [best]]
-        # constant is optimal if no stretch of words repays one switch: the largest sum over a stretch, by language
-        run = np.cumsum(gain.max(axis=1))
-        low = np.minimum.accumulate(np.concatenate([[0.0], run[:-1]]))
-        if (run - low).max() <= SWITCH:
+        # One language throughout is optimal if no stretch in another repays the switch into or out of it, and doing
+        # without the best one altogether does not repay a switch either.
+        gain = np.delete(table - table[:, [best]], best, axis=1)
+        run = np.cumsum(gain, axis=0)
+        low = np.minimum.accumulate(np.vstack([np.zeros((1, gain.shape[1])), run[:-1]]), axis=0)
+        if not gain.size or ((run - low).max() <= SWITCH and gain.max(axis=1).sum() <= SWITCH):
             return words, np.full(len(words), best)
         n, k = table.shape
-        back = np.zeros((n, k), dtype=np.int8)
-        score, stay = table[0].copy(), np.arange(k)
-        for t in range(1, n):
-            top = int(score.argmax())
-            change = score[top] - SWITCH
-            jump = change > score
-            back[t] = np.where(jump, top, stay)
-            score = np.where(jump, change, score) + table[t]
+        rows, stay, back = table.tolist(), list(range(k)), []
+        score = rows[0]
+        for row in rows[1:]:
+            top = max(score)
+            change = top - SWITCH
+            if min(score) >= change:
+                back.append(stay)
+            else:
+                at = score.index(top)
+                back.append([i if s >= change else at for i, s in zip(stay, score)])
+                score = [s if s >= change else change for s in score]
+            score = [s + x for s, x in zip(score, row)]
         path = np.zeros(n, dtype=np.int64)
-        path[-1] = int(score.argmax())
+        path[-1] = score.index(max(score))
         for t in range(n - 1, 0, -1):
-            path[t - 1] = back[t, path[t]]
+            path[t - 1] = back[t - 1][path[t]]
         return words, path
 
     def spans(self, text: str | None) -> list[tuple[int, int, str]]:
