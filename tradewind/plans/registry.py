@@ -2,10 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+_queries: dict[str, Callable] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Register fn(views) -> DataFrame under its name, with DuckDB SQL; SQL that uses the domain's tables starts with SELECT."""
+    from tradewind.plans.views import SQL, Views
+
+    def add(fn):
+        key = name or fn.__name__
+        _queries[key] = lambda spark, sf_dir: fn(Views(spark, sf_dir))
+        if sql is not None:
+            text = sql.strip()
+            _sql[key] = f"{SQL.rstrip()}\n{text}" if text.startswith("SELECT") else f"{SQL.rstrip()},\n{text}"
+        return fn
+
+    return add
+
+
+def _load() -> None:
+    from tradewind.plans import cleaning, market, reads, series, texts  # noqa: F401
+
 
 def queries() -> dict:
-    return {}
+    _load()
+    return dict(_queries)
 
 
 def oracle_sql() -> dict:
-    return {}
+    _load()
+    return dict(_sql)
