@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 from tradewind.llm.store import materialize, read_table
 
 #: Buckets that words are hashed into for the classifier.
-BUCKETS = 1 << 15
-SMOOTH = 1.0
-#: Posteriors are tempered: the log odds are divided by this power of the number of words, as words of a text are not independent.
-TEMPER = 0.5
-STEPS = 40
+BUCKETS = 1 << 18
+#: Words of the pooled distribution that each domain's counts are filled up with, so that small domains have no bias.
+SMOOTH = 300_000.0
+#: A bucket speaks for or against a domain only if its count is this many standard deviations from the pooled share.
+SIGNIFICANT = 5.0
+#: A text of more words than this has its log odds scaled down to as many: words of one text are not independent.
+WORDS_HEARD = 400.0
+STEPS = 30
 #: The domains of the query and the pipeline, by labels: and the share of tokens that each is to have.
 TARGETS = {"good": 0.92, "poor": 0.05, "toxic": 0.03}
 
@@ -42,18 +45,27 @@ def row_key(id_col: str, text: str) -> Column:
 def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str, text: str) -> tuple[DataFrame, list[float]]:
     """(table, prior): naive Bayes over hashed words, from all labelled rows.
 
-    labelled has (id, domain); table has (b, w: array of one log probability by domain) and BUCKETS rows at most.
+    Copies of a text count once, and a word once a text. labelled has (id, domain); table has (b, w: array of one log odds against the pooled share by domain) and BUCKETS rows at most.
     """
     known = labelled.where(F.col("domain").isin(domains)).select(F.col("id").alias("kid"), "domain").distinct()
-    tokens = docs.join(known, docs[id_col] == known["kid"]).select("domain", F.explode(tokens_of(text)).alias("w")).where("w <> ''")
+    texts = docs.join(known, docs[id_col] == known["kid"]).groupBy(F.xxhash64(text).alias("h"), "domain").agg(F.first(text).alias(text))
+    tokens = texts.select("h", "domain", F.explode(F.array_distinct(tokens_of(text))).alias("w")).where("w <> ''")
     hashed = tokens.select("domain", F.when(F.col("w") == MARK, -1).otherwise(bucket(F.col("w"))).alias("b"))
     counts = materialize(hashed.groupBy("b").agg(*[F.count_if(F.col("domain") == d).alias(f"n{i}") for i, d in enumerate(domains)]), "classifier")
     rows = counts.where("b = -1").first()
     have = [rows[f"n{i}"] if rows else 0 for i in range(len(domains))]
     counts = counts.where("b >= 0")
     sums = counts.agg(*[F.coalesce(F.sum(f"n{i}"), F.lit(0)).alias(f"n{i}") for i in range(len(domains))]).first()
-    logs = [F.log((F.col(f"n{i}") + SMOOTH) / (sums[i] + SMOOTH * BUCKETS)) for i in range(len(domains))]
-    return counts.select("b", F.array(*logs).alias("w")), [(n + 1) / (sum(have) + len(domains)) for n in have]
+    pooled, every = sum((F.col(f"n{i}") for i in range(1, len(domains))), F.col("n0")), max(1, sum(sums))
+
+    def log_odds(i: int) -> Column:
+        usual = pooled * (sums[i] / every)
+        sure = F.abs(F.col(f"n{i}") - usual) >= SIGNIFICANT * F.sqrt(usual + 1)
+        filled = (F.col(f"n{i}") + SMOOTH * pooled / every) / ((sums[i] + SMOOTH) * pooled / every)
+        return F.when(sure & (pooled > 0), F.log(filled)).otherwise(F.lit(0.0))
+
+    table = counts.select("b", F.array(*[log_odds(i) for i in range(len(domains))]).alias("w")).where(F.exists("w", lambda x: x != 0))
+    return table, [(n + 1) / (sum(have) + len(domains)) for n in have]
 
 
 def memberships(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -71,7 +83,7 @@ def memberships(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col
         F.count_if("end").alias("times"), F.count_if(~F.col("end")).alias("n"), *[F.coalesce(F.sum(F.col("w")[i]), F.lit(0.0)).alias(f"s{i}") for i in range(len(domains))]
     )
     n = F.col("n") / F.col("times")
-    heat = F.pow(F.greatest(n, F.lit(1.0)), F.lit(TEMPER))
+    heat = F.greatest(n / WORDS_HEARD, F.lit(1.0))
     logits = [F.log(F.lit(x)) + F.col(f"s{i}") / F.col("times") / heat for i, x in enumerate(prior)]
     top = F.greatest(*logits) if len(logits) > 1 else logits[0]
     odds = [F.exp(x - top) for x in logits]
@@ -97,21 +109,23 @@ def fit_rates(rows: DataFrame, targets: list[float], steps: int = STEPS, toleran
     """(rate, reached): rate is a Column over rows (times, n_tokens, p) whose expected domain totals match targets.
 
     Minimizes the squared distance of A r from T over r >= 0, from r = 1, by projected gradient: A[k, i] = n_tokens * p[k] of row i, a
-    row that occurs `times` times counts as often, and the distance is measured by G^-1 with G = sum of n_tokens * p p'. A step is
-    r <- max(0, r - p' G^-1 (A r - T)); scaling rows by length makes rates depend on membership alone. It needs only the residual, one
-    number a domain, from a distributed sum, so a row's rate is a fold over the steps so far and no table of rates is kept
-    between them. Ends when every total is within `tolerance` of the whole budget, or after `steps`. Targets that no nonnegative
-    rates reach give the nearest totals.
+    row that occurs `times` times counts as often, and the distance is measured by G^-1 with G = sum of n_tokens * p p' over the
+    rows whose rate is not 0. A step is r <- max(0, r - p' G^-1 (A r - T)); scaling rows by length makes rates depend on membership
+    alone. It needs only the residual and G, a few numbers a domain from one distributed sum, so a row's rate is a fold over the
+    steps so far and no table of rates is kept between them. Ends when every total is within `tolerance` of the whole budget, or
+    after `steps`. Targets that no nonnegative rates reach give near totals.
     """
     k = len(targets)
     p = lambda i: F.col("p")[i]
     mass = lambda i: F.col("times") * F.col("n_tokens") * p(i)
-    gram = rows.agg(*[F.coalesce(F.sum(mass(i) * p(j)), F.lit(0.0)) for i in range(k) for j in range(k)]).first()
-    g = [[gram[i * k + j] + (1e-9 * (gram[i * k + i] + 1) if i == j else 0) for j in range(k)] for i in range(k)]
     pulls: list[list[float]] = []
     rate, reached = F.lit(1.0), [0.0] * k
     for _ in range(steps):
-        reached = list(rows.agg(*[F.coalesce(F.sum(rate * mass(i)), F.lit(0.0)) for i in range(k)]).first())
+        live = F.when(rate > 0, 1.0).otherwise(0.0)
+        sums = [rate * mass(i) for i in range(k)] + [live * mass(i) * p(j) for i in range(k) for j in range(k)]
+        found = list(rows.agg(*[F.coalesce(F.sum(x), F.lit(0.0)) for x in sums]).first())
+        reached, gram = found[:k], found[k:]
+        g = [[gram[i * k + j] + (1e-9 * (gram[i * k + i] + 1) if i == j else 0) for j in range(k)] for i in range(k)]
         gaps = [x - t for x, t in zip(reached, targets, strict=True)]
         if all(abs(x) <= tolerance * max(1.0, sum(targets)) for x in gaps):
             break
