@@ -17,7 +17,9 @@ from tradewind.llm.store import read_table, scratch_path
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 #: Pieces that a worker keeps encoded; further new pieces are kept for one batch only.
-KNOWN_PIECES = 800_000
+KNOWN_PIECES = 400_000
+#: Documents that are encoded in one call.
+CALL_ROWS = 800
 #: UTF-8 bytes of text that one file holds, about.
 FILE_BYTES = 64 << 20
 #: Two white-space characters in a row, or one that is neither a space nor a line feed.
@@ -105,8 +107,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard, start = _encoder(vocabulary), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for at in range(0, batch.num_rows, CALL_ROWS):
+                part = batch.slice(at, CALL_ROWS)
                 ids = encoder.encode(part.column("text").to_pylist())
                 counts = np.array([len(x) // 4 for x in ids], dtype=np.int64)
                 ends = np.cumsum(counts)
