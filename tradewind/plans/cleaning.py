@@ -43,34 +43,34 @@ def placeholders_demoted(v):
 
 
 def _two_reads(v):
-    """Yesterday's offers, and today's: a store with an id divisible by 4 lost two thirds."""
-    return v.offer.where("store % 4 <> 0 or product_id % 3 = 0"), v.offer
+    """Today's offers, and yesterday's: the stores of one market list no sold-out ones any more."""
+    return v.offer.where("in_stock or market <> 'ASIA'"), v.offer
 
 
-@query("""new AS (SELECT * FROM offer WHERE store % 4 <> 0 OR product_id % 3 = 0),
+@query("""new AS (SELECT * FROM offer WHERE in_stock OR market <> 'ASIA'),
 bad AS (SELECT store FROM (SELECT store, count(*) AS was FROM offer GROUP BY 1) LEFT JOIN (SELECT store, count(*) AS n FROM new GROUP BY 1) USING (store) WHERE coalesce(n, 0) * 100 < was * 50)
 SELECT * FROM new WHERE store NOT IN (SELECT store FROM bad) UNION ALL SELECT * FROM offer WHERE store IN (SELECT store FROM bad)""")
 def coverage_guarded(v):
     return quality.coverage_guard(*_two_reads(v), "store")
 
 
-@query("SELECT id, name, msrp + CASE WHEN id % 3 = 0 THEN 5 ELSE 0 END AS msrp, CASE WHEN id % 10 = 0 THEN 'insert' WHEN id % 3 = 0 THEN 'update' ELSE 'same' END AS change FROM product")
+@query("SELECT id, name, msrp + CASE WHEN product_type = 'PROMO' THEN 5 ELSE 0 END AS msrp, CASE WHEN size <= 5 THEN 'insert' WHEN product_type = 'PROMO' THEN 'update' ELSE 'same' END AS change FROM product")
 def upsert_diff(v):
-    fresh = v.product.select("id", "name", (F.col("msrp") + F.when(F.col("id") % 3 == 0, 5).otherwise(0)).alias("msrp"))
-    return merge.upsert_diff(v.product.where("id % 10 <> 0").select("id", "name", "msrp"), fresh, "id")
+    fresh = v.product.select("id", "name", (F.col("msrp") + F.when(F.col("product_type") == "PROMO", 5).otherwise(0)).alias("msrp"))
+    return merge.upsert_diff(v.product.where("size > 5").select("id", "name", "msrp"), fresh, "id")
 
 
-@query("""SELECT id, msrp FROM product WHERE id % 2 = 0 UNION ALL SELECT id, msrp - 1 FROM product WHERE id % 2 = 1 AND size <= 30""")
+@query("""SELECT id, msrp FROM product WHERE product_type = 'PROMO' UNION ALL SELECT id, msrp - 1 FROM product WHERE product_type <> 'PROMO' AND size <= 30""")
 def snapshot_merged(v):
-    fresh, stored = v.product.where("id % 2 = 0").select("id", "msrp"), v.product.select("id", (F.col("msrp") - 1).alias("msrp"), "size")
+    fresh, stored = v.product.where("product_type = 'PROMO'").select("id", "msrp"), v.product.select("id", (F.col("msrp") - 1).alias("msrp"), "size")
     return merge.merged(stored, fresh, "id", F.col("size") > 30)
 
 
-@query("""a AS (SELECT o_custkey % 20 AS k FROM orders WHERE o_orderkey % 2 = 0), b AS (SELECT o_custkey % 20 AS k FROM orders WHERE o_orderkey % 2 = 1)
+@query("""a AS (SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'O'), b AS (SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F')
 SELECT k, 'left' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT k, 'right' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""")
 def multiset_differences(v):
-    k = (F.col("o_custkey") % 20).alias("k")
-    return merge.differences(v.raw("orders").where("o_orderkey % 2 = 0").select(k), v.raw("orders").where("o_orderkey % 2 = 1").select(k))
+    k = F.col("o_custkey").alias("k")
+    return merge.differences(v.raw("orders").where("o_orderstatus = 'O'").select(k), v.raw("orders").where("o_orderstatus = 'F'").select(k))
 
 
 @query("""v AS (SELECT product_id AS entity, product_id % 50 AS old, CASE WHEN (store * 7 + product_id) % 3 = 0 THEN product_id % 50 ELSE (product_id + 1) % 50 END AS nw FROM offer),
@@ -83,8 +83,8 @@ def voted_moves(v):
     return quality.moved_keys(v.offer.select(p.alias("entity"), (p % 50).alias("old"), new.alias("new")))
 
 
-TITLES = """l AS (SELECT p_partkey AS listing, p_type AS block, list_sort(list_distinct(string_split(lower(p_name || CASE WHEN p_partkey % 2 = 0 THEN ' extra' ELSE '' END), ' '))) AS tokens FROM part),
-p AS (SELECT min(p_partkey) AS product, p_type AS block, list_sort(list_distinct(string_split(lower(p_name), ' '))) AS tokens FROM part WHERE p_partkey % 4 < 2 GROUP BY p_type, list_sort(list_distinct(string_split(lower(p_name), ' '))))"""
+TITLES = """l AS (SELECT p_partkey AS listing, p_type AS block, list_sort(list_distinct(string_split(lower(p_name || CASE WHEN p_size > 25 THEN ' extra' ELSE '' END), ' '))) AS tokens FROM part),
+p AS (SELECT min(p_partkey) AS product, p_type AS block, list_sort(list_distinct(string_split(lower(p_name), ' '))) AS tokens FROM part WHERE p_size <= 30 GROUP BY p_type, list_sort(list_distinct(string_split(lower(p_name), ' '))))"""
 
 
 @query(f"""{TITLES},
@@ -95,9 +95,9 @@ t AS (SELECT listing, count(*) AS k, min(product) AS product FROM f JOIN m USING
 SELECT * FROM e UNION ALL SELECT listing, CASE WHEN k = 1 THEN product END, CASE WHEN k = 1 THEN 'contained' ELSE 'ambiguous' END FROM t""")
 def titles_matched(v):
     part = v.raw("part")
-    title = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.col("p_name"), F.lit(" extra"))).otherwise(F.col("p_name"))
+    title = F.when(F.col("p_size") > 25, F.concat(F.col("p_name"), F.lit(" extra"))).otherwise(F.col("p_name"))
     listings = part.select(F.col("p_partkey").alias("listing"), F.col("p_type").alias("block"), tx.tokens(title).alias("tokens"))
-    products = part.where("p_partkey % 4 < 2").groupBy(F.col("p_type").alias("block"), tx.tokens(F.col("p_name")).alias("tokens")).agg(F.min("p_partkey").alias("product"))
+    products = part.where("p_size <= 30").groupBy(F.col("p_type").alias("block"), tx.tokens(F.col("p_name")).alias("tokens")).agg(F.min("p_partkey").alias("product"))
     return matching.match(listings, products)
 
 

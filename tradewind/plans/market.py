@@ -159,12 +159,12 @@ def interleaved(v):
     return found.select("id", "product_type", "turn")
 
 
-@query("""n AS (SELECT id, product_type, row_number() OVER (PARTITION BY product_type ORDER BY msrp, id) AS i, count(*) OVER (PARTITION BY product_type) AS n FROM product),
-spot AS (SELECT product_type, i AS a, n AS c FROM n WHERE id % 50 = 7),
+@query("""n AS (SELECT id, product_type, size, row_number() OVER (PARTITION BY product_type ORDER BY msrp, id) AS i, count(*) OVER (PARTITION BY product_type) AS n FROM product),
+spot AS (SELECT product_type, i AS a, n AS c FROM n WHERE size = 50),
 one AS (SELECT product_type, max(a) AS a, max(c) AS c FROM spot GROUP BY 1)
 SELECT id, n.product_type FROM n JOIN one USING (product_type) WHERE i <> a AND i >= greatest(1, least(a - 3, c - 6)) AND i <= greatest(1, least(a - 3, c - 6)) + 6""")
 def same_type_neighbours(v):
-    return ranking.neighbours(v.product, ["product_type"], [F.asc("msrp"), F.asc("id")], F.col("id") % 50 == 7, 6).select("id", "product_type")
+    return ranking.neighbours(v.product, ["product_type"], [F.asc("msrp"), F.asc("id")], F.col("size") == 50, 6).select("id", "product_type")
 
 
 @query("SELECT id FROM product WHERE set_code = 'Brand#5' UNION SELECT product_id FROM stat WHERE in_stock_stores >= 10")
@@ -200,23 +200,23 @@ def index_tiers(v):
     return v.stat.select("product_id", "market", F.when(F.col("in_stock_stores") >= 3, "strong").when(stats.is_comparable(), "middle").otherwise("thin").alias("tier"))
 
 
-@query("""item AS (SELECT o_orderkey % 97 AS basket, l_partkey AS product_id, CAST(sum(l_quantity) AS BIGINT) AS qty FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey < 400 GROUP BY 1, 2),
+@query("""item AS (SELECT o_custkey AS basket, l_partkey AS product_id, CAST(sum(l_quantity) AS BIGINT) AS qty FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2),
 best AS (SELECT basket, i.product_id, qty, price, store, row_number() OVER (PARTITION BY basket, i.product_id ORDER BY price, store) AS rn FROM item i JOIN offer o ON o.product_id = i.product_id AND in_stock)
 SELECT basket, count(*) AS lines, count(DISTINCT store) AS stores, CAST(sum(price * qty) AS BIGINT) AS total FROM best WHERE rn = 1 GROUP BY 1""")
 def best_basket_split(v):
     items = _baskets(v)
     best = F.min(F.struct("price", "store"))
-    found = items.join(v.offer.where("in_stock"), "product_id").groupBy("basket", "product_id", "qty").agg(best.alias("b"))
+    found = items.join(v.offer.where("in_stock").groupBy("product_id").agg(best.alias("b")), "product_id")
     return found.groupBy("basket").agg(F.count("*").alias("lines"), F.countDistinct("b.store").alias("stores"), F.sum(F.col("b.price") * F.col("qty")).alias("total"))
 
 
 def _baskets(v):
-    orders, lines = v.raw("orders").where("o_orderkey < 400"), v.raw("lineitem")
+    orders, lines = v.raw("orders"), v.raw("lineitem")
     found = orders.join(lines, orders["o_orderkey"] == lines["l_orderkey"])
-    return found.groupBy((F.col("o_orderkey") % 97).alias("basket"), F.col("l_partkey").alias("product_id")).agg(F.sum("l_quantity").cast("long").alias("qty"))
+    return found.groupBy(F.col("o_custkey").alias("basket"), F.col("l_partkey").alias("product_id")).agg(F.sum("l_quantity").cast("long").alias("qty"))
 
 
-@query("""item AS (SELECT o_orderkey % 97 AS basket, l_partkey AS product_id, CAST(sum(l_quantity) AS BIGINT) AS qty FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey < 400 GROUP BY 1, 2),
+@query("""item AS (SELECT o_custkey AS basket, l_partkey AS product_id, CAST(sum(l_quantity) AS BIGINT) AS qty FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2),
 per AS (SELECT basket, store, count(*) AS lines, CAST(sum(price * qty) AS BIGINT) AS total FROM item i JOIN offer o ON o.product_id = i.product_id AND in_stock GROUP BY 1, 2)
 SELECT basket, store, lines, total FROM (SELECT *, row_number() OVER (PARTITION BY basket ORDER BY lines DESC, total, store) AS rn FROM per) WHERE rn = 1""")
 def best_basket_one_store(v):

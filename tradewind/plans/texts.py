@@ -65,9 +65,9 @@ def type_cascade(v):
     return v.product.select("id", tx.rule_cascade(sized, rules).alias("kind"))
 
 
-@query("""SELECT doc_id, length(text) AS chars, CASE WHEN regexp_matches(text, '^[=+@\\t\\r-]') THEN '''' || left(text, 20) ELSE left(text, 20) END AS cell FROM documents""")
+@query("""SELECT doc_id, length(text) AS chars, CASE WHEN regexp_matches(text, '^[=+@\\t\\r-]') THEN '''' || text ELSE text END AS cell FROM documents""")
 def csv_cells(v):
-    return v.raw("documents").select("doc_id", F.length("text").cast("long").alias("chars"), tx.csv_safe(F.left("text", F.lit(20))).alias("cell"))
+    return v.raw("documents").select("doc_id", F.length("text").cast("long").alias("chars"), tx.csv_safe(F.col("text")).alias("cell"))
 
 
 @query("""m AS (SELECT product_id, market, lowest FROM stat WHERE lowest IS NOT NULL) SELECT product_id, count(*) AS markets, string_agg(market || '=' || lowest, ',' ORDER BY market) AS prices FROM m GROUP BY 1""")
@@ -86,11 +86,11 @@ def escrow_by_running_sum(v):
     return o.withColumn("spent", spent).join(c, "buyer").where("spent <= balance").select("buyer", "o_orderkey", "cost", (F.col("balance") - F.col("spent")).alias("left"))
 
 
-@query("""ask AS (SELECT l_partkey AS product, l_orderkey, l_linenumber, l_suppkey, CAST(l_quantity AS BIGINT) AS qty, CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) AS cost FROM lineitem WHERE l_partkey < 60),
+@query("""ask AS (SELECT l_partkey AS product, l_orderkey, l_linenumber, l_suppkey, CAST(l_quantity AS BIGINT) AS qty, CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) AS cost FROM lineitem),
 r AS (SELECT *, CAST(sum(qty) OVER (PARTITION BY product ORDER BY l_orderkey, l_linenumber, l_suppkey, qty, cost ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS upto FROM ask)
 SELECT product, l_orderkey, l_linenumber, l_suppkey, qty, cost, greatest(0, least(qty, 100 - (upto - qty))) AS filled FROM r WHERE upto - qty < 100""")
 def bids_filled_in_turn(v):
-    ask = v.raw("lineitem").where("l_partkey < 60").select(F.col("l_partkey").alias("product"), "l_orderkey", "l_linenumber", "l_suppkey", F.col("l_quantity").cast("long").alias("qty"), F.floor(F.col("l_extendedprice") * 100 + 0.5).cast("long").alias("cost"))
+    ask = v.raw("lineitem").select(F.col("l_partkey").alias("product"), "l_orderkey", "l_linenumber", "l_suppkey", F.col("l_quantity").cast("long").alias("qty"), F.floor(F.col("l_extendedprice") * 100 + 0.5).cast("long").alias("cost"))
     w = Window.partitionBy("product").orderBy("l_orderkey", "l_linenumber", "l_suppkey", "qty", "cost").rowsBetween(Window.unboundedPreceding, 0)
     before = F.col("upto") - F.col("qty")
     return ask.withColumn("upto", F.sum("qty").over(w)).where(before < 100).select("product", "l_orderkey", "l_linenumber", "l_suppkey", "qty", "cost", F.greatest(F.lit(0), F.least(F.col("qty"), 100 - before)).alias("filled"))
