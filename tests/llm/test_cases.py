@@ -312,5 +312,24 @@ def test_fit_rates_against_brute_force(spark):
     assert np.allclose(a @ got, targets, rtol=1e-4) and np.allclose(reached, targets, rtol=1e-4)
 
 
+@pytest.mark.parametrize("shares", [(0.92, 0.05, 0.03), (0.7, 0.1, 0.2)])
+def test_fit_rates_is_the_minimum(spark, shares):
+    """Also where no nonnegative rates reach the targets: no row is surely of the first domain."""
+    rng = np.random.default_rng(7)
+    kinds = np.array([[0.87, 0.02, 0.11], [0.85, 0.03, 0.12], [0.03, 0.94, 0.03], [0.03, 0.02, 0.95], [0.4, 0.3, 0.3]])
+    p, n = kinds[rng.choice(5, 60, p=[0.5, 0.2, 0.1, 0.15, 0.05])], rng.integers(1, 200, 60)
+    rows = spark.createDataFrame([(1, int(a), b.tolist()) for a, b in zip(n, p, strict=True)], "times long, n_tokens long, p array<double>")
+    a, budget = (n[:, None] * p).T, float(n.sum())
+    targets = budget * np.array(shares)
+    g, r = np.linalg.inv(a @ p), np.ones(60)
+    for _ in range(50_000):
+        r = np.maximum(0, r - p @ (g @ (a @ r - targets)))
+    rate, reached = mixing.fit_rates(rows, targets.tolist())
+    got = np.array([x[0] for x in rows.select(rate).collect()])
+    assert (got >= 0).all() and np.allclose(a @ got / budget, a @ r / budget, atol=1e-4) and np.allclose(a @ got, reached, rtol=1e-6)
+    with pytest.raises(RuntimeError):
+        mixing.fit_rates(rows, targets.tolist(), steps=0)
+
+
 def test_hashes_are_standard():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")

@@ -5,10 +5,15 @@ Everything here is DataFrame and SQL; the driver handles a matrix with one row f
 
 from __future__ import annotations
 
+import logging
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradewind.llm.store import materialize, read_table
+from tradewind.llm.store import drop, materialize, read_table
+
+log = logging.getLogger(__name__)
 
 #: Buckets that words are hashed into for the classifier.
 BUCKETS = 1 << 18
@@ -18,7 +23,10 @@ SMOOTH = 300_000.0
 SIGNIFICANT = 5.0
 #: A text of more words than this has its log odds scaled down to as many: words of one text are not independent.
 WORDS_HEARD = 400.0
-STEPS = 30
+#: Steps of the projected gradient after which it is an error that it has not settled; WRITTEN of them lie between two written tables.
+STEPS, WRITTEN = 1_000, 8
+#: The projected gradient counts as zero when rates still move by this much, as a root mean square by tokens.
+STILL = 1e-5
 #: The domains of the query and the pipeline, by labels: and the share of tokens that each is to have.
 TARGETS = {"good": 0.92, "poor": 0.05, "toxic": 0.03}
 
@@ -105,34 +113,64 @@ def _solve(a: list[list[float]], b: list[float]) -> list[float]:
     return [m[i][n] / m[i][i] for i in range(n)]
 
 
-def fit_rates(rows: DataFrame, targets: list[float], steps: int = STEPS, tolerance: float = 1e-6) -> tuple[Column, list[float]]:
-    """(rate, reached): rate is a Column over rows (times, n_tokens, p) whose expected domain totals match targets.
+def fit_rates(rows: DataFrame, targets: list[float], steps: int = STEPS, tolerance: float = 1e-6, still: float = STILL) -> tuple[Column, list[float]]:
+    """(rate, reached): rate is a Column over rows (times, n_tokens, p) whose expected domain totals are nearest to targets.
 
     Minimizes the squared distance of A r from T over r >= 0, from r = 1, by projected gradient: A[k, i] = n_tokens * p[k] of row i, a
-    row that occurs `times` times counts as often, and the distance is measured by G^-1 with G = sum of n_tokens * p p' over the
-    rows whose rate is not 0. A step is r <- max(0, r - p' G^-1 (A r - T)); scaling rows by length makes rates depend on membership
-    alone. It needs only the residual and G, a few numbers a domain from one distributed sum, so a row's rate is a fold over the
-    steps so far and no table of rates is kept between them. Ends when every total is within `tolerance` of the whole budget, or
-    after `steps`. Targets that no nonnegative rates reach give near totals.
+    row that occurs `times` times counts as often, and the distance is measured by G^-1 with G = sum of n_tokens * p p' over all
+    rows, the same in every step. A step is r <- max(0, v - p' G^-1 (A v - T)), where v is r carried on by Nesterov's momentum, which
+    starts anew when it points uphill; in the norm weighed by tokens the step is 1/L, so steps do not overshoot.
+
+    A step needs a few numbers a domain from one distributed sum, A v following from A r. The latest steps are a fold over a table of (r, v)
+    that is written again after every WRITTEN of them, and the rate is a fold over all. Ends when every total is within `tolerance`
+    of the whole budget, or when the projected gradient, the root mean square of r - v by tokens, is `still` at most, which is the
+    minimum where no nonnegative rates reach the targets. RuntimeError if neither holds after `steps`.
     """
     k = len(targets)
     p = lambda i: F.col("p")[i]
-    mass = lambda i: F.col("times") * F.col("n_tokens") * p(i)
-    pulls: list[list[float]] = []
-    rate, reached = F.lit(1.0), [0.0] * k
-    for _ in range(steps):
-        live = F.when(rate > 0, 1.0).otherwise(0.0)
-        sums = [rate * mass(i) for i in range(k)] + [live * mass(i) * p(j) for i in range(k) for j in range(k)]
-        found = list(rows.agg(*[F.coalesce(F.sum(x), F.lit(0.0)) for x in sums]).first())
-        reached, gram = found[:k], found[k:]
-        g = [[gram[i * k + j] + (1e-9 * (gram[i * k + i] + 1) if i == j else 0) for j in range(k)] for i in range(k)]
-        gaps = [x - t for x, t in zip(reached, targets, strict=True)]
-        if all(abs(x) <= tolerance * max(1.0, sum(targets)) for x in gaps):
+    weight = F.col("times") * F.col("n_tokens")
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0.0))
+    found = list(rows.agg(*[total(weight * p(i)) for i in range(k)], *[total(weight * p(i) * p(j)) for i in range(k) for j in range(k)], total(weight)).first())
+    reached, gram, every = found[:k], found[k:-1], found[-1]
+    g = [[gram[i * k + j] + (1e-9 * (gram[i * k + i] + 1) if i == j else 0) for j in range(k)] for i in range(k)]
+    near = lambda: all(abs(x - t) <= tolerance * max(1.0, sum(targets)) for x, t in zip(reached, targets, strict=True))
+
+    def fold(by: list[list[float]], r: Column, v: Column) -> Column:
+        """[r, v, r - v of before, r - r of before] after the steps by; their numbers are one constant, so that all steps share compiled code."""
+
+        def step(at: Column, x: Column) -> Column:
+            new = F.greatest(F.lit(0.0), at[1] - sum((x[i] * p(i) for i in range(1, k)), x[0] * p(0)))
+            return F.array(new, new + x[k] * (new - at[0]), new - at[1], new - at[0])
+
+        return F.aggregate(F.array(*[F.array(*[F.lit(float(y)) for y in x]) for x in by]), F.array(r, v, F.lit(0.0), F.lit(0.0)), step)
+
+    taken: list[list[float]] = []
+    lately: list[list[float]] = []
+    state, stored, ahead, pace = rows.select("times", "n_tokens", "p", F.lit(1.0).alias("r"), F.lit(1.0).alias("v")), None, reached, 1.0
+    while not near():
+        if len(taken) == steps:
+            raise RuntimeError(f"mixing rates did not settle in {steps} steps: totals {reached} for targets {targets}")
+        pull = _solve(g, [x - t for x, t in zip(ahead, targets, strict=True)])
+        tried = state.select("times", "n_tokens", "p", fold([*lately, [*pull, 0.0]], F.col("r"), F.col("v")).alias("at"))
+        r, moved, on = (F.col("at")[i] for i in (0, 2, 3))
+        *now, squares, uphill = tried.agg(*[total(r * weight * p(i)) for i in range(k)], total(weight * moved * moved), total(-weight * moved * on)).first()
+        pace = 1.0 if uphill > 0 else pace
+        faster = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
+        beta, pace = (pace - 1) / faster, faster
+        ahead, reached = [x + beta * (x - y) for x, y in zip(now, reached, strict=True)], now
+        taken.append([*pull, beta])
+        lately.append(taken[-1])
+        if squares <= still * still * every:
             break
-        pulls.append(_solve(g, gaps))
-        so_far = F.array(*[F.array(*[F.lit(float(x)) for x in pull]) for pull in pulls])
-        rate = F.aggregate(so_far, F.lit(1.0), lambda r, pull: F.greatest(F.lit(0.0), r - sum((pull[i] * p(i) for i in range(1, k)), pull[0] * p(0))))
-    return rate, reached
+        if len(lately) == WRITTEN:
+            at = fold(lately, F.col("r"), F.col("v"))
+            state = materialize(state.select("times", "n_tokens", "p", at.alias("at")).select("times", "n_tokens", "p", F.col("at")[0].alias("r"), F.col("at")[1].alias("v")), "steps")
+            if stored is not None:
+                drop(stored)
+            stored, lately = state, []
+    if stored is not None:
+        drop(stored)
+    return (fold(taken, F.lit(1.0), F.lit(1.0))[0] if taken else F.lit(1.0)), reached
 
 
 def domain_labels(labels: DataFrame) -> DataFrame:
@@ -152,7 +190,8 @@ def rated(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_co
     rows = materialize(memberships(docs, labelled, domains, id_col, text), "memberships")
     budget = rows.agg(F.coalesce(F.sum(F.col("times") * F.col("n_tokens")), F.lit(0))).first()[0]
     weight = sum(targets.values())
-    rate, _ = fit_rates(rows, [budget * targets[d] / weight for d in domains])
+    rate, reached = fit_rates(rows, [budget * targets[d] / weight for d in domains])
+    log.info("shares of the budget, reached and wanted: %s", {d: (x / max(1, budget), targets[d] / weight) for d, x in zip(domains, reached, strict=True)})
     chance = F.pmod(F.xxhash64("key", F.lit(17)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     return materialize(rows.withColumn("rate", rate), "rates").withColumn("copies", F.floor(F.col("rate") + chance).cast("int"))
 
