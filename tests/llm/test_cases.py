@@ -194,6 +194,19 @@ def test_reshard(spark, odd_docs, no_docs):
     assert reshard.reshard(no_docs).count() == 0
 
 
+def test_reshard_matches_rows_by_number(spark):
+    """A group of equal rows is not gathered, and a hot id spreads over blocks."""
+    rows = spark.range(6000).selectExpr("if(id < 4000, null, id) as doc_id", "if(id < 4000, null, 'abc') as text", "'a' as source")
+    found = reshard.reshard(rows)
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+    got = found.collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["shard"], []).append(r["slot"])
+    assert len(got) == 6000 and all(sorted(s) == list(range(len(s))) for s in by.values())
+    assert sum(r["doc_id"] is None and r["text"] is None for r in got) == 4000 and len({r["doc_id"] for r in got}) == 2001
+
+
 def test_reshard_sizes_and_moves(spark):
     rows = spark.range(4000).selectExpr("id as doc_id", "repeat('x', cast(10 + id % 90 as int)) as text", "if(id % 3 = 0, 'hot', cast(id % 7 as string)) as source")
     got = reshard.reshard(rows).collect()

@@ -77,11 +77,11 @@ def even_capacities(total: int, shards: int) -> list[int]:
 
 
 def plan(rows: DataFrame, shards: int, capacities: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
-    """rows has (id, crc, size, old: int). Returns it plus (shard, slot), and the moves (old, new, bytes).
+    """rows has (n, id, crc, size, old: int), n unique. Returns it plus (shard, slot), and the moves (old, new, bytes).
 
-    Rows fall into blocks by a hash of their id; a block has about BLOCK_ROWS rows. Only one sum for
+    Rows fall into blocks by a hash of id, crc and n, so that repeated ids and rows spread; a block has about BLOCK_ROWS rows. Only one sum for
     each old shard and block reaches the driver: a row for every BLOCK_ROWS documents. Each old shard is laid out
-    as its blocks in order, within a block by (size descending, id, crc). The flow cuts that line: the bytes that
+    as its blocks in order, within a block by (size descending, id, crc, n). The flow cuts that line: the bytes that
     stay come first, then what goes to each new shard. A row goes where the middle of its bytes lies, so whole
     blocks move unless a cut falls inside, and a shard misses its capacity by less than one row at each
     cut. Positions and slots are sums over blocks plus a window within a block; no shard, source or
@@ -90,7 +90,7 @@ def plan(rows: DataFrame, shards: int, capacities: list[int] | None = None) -> t
     spark = rows.sparkSession
     count = rows.count()
     blocks = max(16, -(-count // BLOCK_ROWS))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(blocks)).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "crc", "n", F.lit(7)), F.lit(blocks)).cast("int"))
     sums = rows.groupBy("old", "block").agg(F.sum("size").alias("bytes")).orderBy("old", "block").collect()
     olds = 1 + max([r["old"] for r in sums], default=-1)
     sizes, before, line = [0] * olds, [], [0] * olds
@@ -111,7 +111,7 @@ def plan(rows: DataFrame, shards: int, capacities: list[int] | None = None) -> t
     starts = spark.createDataFrame(before, "old int, block int, before long")
     cut = spark.createDataFrame(cuts, "old int, shard int, low long, high long")
 
-    inside = Window.partitionBy("old", "block").orderBy(F.desc("size"), "id", "crc").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("old", "block").orderBy(F.desc("size"), "id", "crc", "n").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.join(starts, ["old", "block"]).withColumn("middle", F.col("before") + F.sum("size").over(inside) - F.expr("size div 2 + 1"))
     # at most one cut for each pair of an old and a new shard
     placed = placed.join(F.broadcast(cut), "old").where("middle >= low and middle < high").drop("middle", "low", "high", "before")
@@ -123,7 +123,7 @@ def plan(rows: DataFrame, shards: int, capacities: list[int] | None = None) -> t
         offsets.append((r["shard"], r["old"], r["block"], line.get(r["shard"], 0)))
         line[r["shard"]] = line.get(r["shard"], 0) + r["n"]
     base = spark.createDataFrame(offsets, "shard int, old int, block int, base long")
-    order = Window.partitionBy("shard", "old", "block").orderBy("id", "crc", "size")
+    order = Window.partitionBy("shard", "old", "block").orderBy("id", "crc", "size", "n")
     numbered = placed.join(base, ["shard", "old", "block"]).withColumn("slot", F.col("base") + F.row_number().over(order) - 1)
     return numbered.drop("base", "block"), spark.createDataFrame(moves, "old int, new int, bytes long")
 
@@ -133,21 +133,18 @@ def reshard(docs: DataFrame, old_shard=None, shards: int = SHARDS, id_col: str =
 
     old_shard is a Column of small non-negative integers; by default the layout that hashed the source into
     OLD_SHARDS shards. Sizes end up near equal. Null ids and texts are fine (size 1); repeated rows get
-    slots of their own; an empty table gives no rows. Where docs has columns of these names the new ones
+    slots of their own, as rows are matched by a number that is written with them, never by value; an empty table gives no rows. Where docs has columns of these names the new ones
     have underscores added; see fresh().
     """
     names = {c: fresh(docs, c) for c in ("shard", "slot", "moved")}
     old = old_shard if old_shard is not None else default_old_shard()
     crc = F.crc32(F.coalesce(F.encode(text, "UTF-8"), F.lit(b"")))
-    brief = docs.select(F.col(id_col).alias("id"), crc.alias("crc"), size_of(text).alias("size"), old.cast("int").alias("old"))
-    placed, _ = plan(brief, shards)
-    # rows alike in id, checksum and size may stand for each other: they take the places of their group in turn
-    key = F.xxhash64("id", "crc", "size")
-    places = placed.groupBy(key.alias("k")).agg(F.array_sort(F.collect_list(F.struct("shard", "slot", (F.col("shard") != F.col("old")).alias("moved")))).alias("places"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(F.col(id_col), crc, size_of(text)).alias("k"))
-    turn = F.row_number().over(Window.partitionBy("k").orderBy("k"))
-    found = rows.join(places, "k").withColumn("p", F.element_at("places", turn))
-    return found.select("row.*", *[F.col(f"p.{c}").alias(n) for c, n in names.items()])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    numbered = docs.select(row, F.col(id_col).alias("id"), crc.alias("crc"), size_of(text).alias("size"), old.cast("int").alias("old"))
+    rows = materialize(numbered.withColumn("n", F.monotonically_increasing_id()), "numbered")
+    placed, _ = plan(rows.drop("row"), shards)
+    places = placed.select("n", "shard", "slot", (F.col("shard") != F.col("old")).alias("moved"))
+    return rows.select("n", "row").join(places, "n").select("row.*", *[F.col(c).alias(n) for c, n in names.items()])
 
 
 def default_old_shard(source: str = "source"):
