@@ -127,6 +127,18 @@ def test_toxicity(spark, odd_docs, no_docs):
     assert none.score("anything at all") < 1e-6
 
 
+def test_toxicity_keeps_the_ratio_of_labels(spark):
+    """3 in 10 clean documents have a word that all toxic ones have: too few toxic ones to flag it, however small the sample."""
+    rng = np.random.default_rng(4)
+    toxic = [i % 20 == 0 for i in range(4000)]
+    texts = [" ".join(f"w{rng.integers(8)}" for _ in range(6)) + (" vile" if y or rng.random() < 0.3 else "") for y in toxic]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(y)) for i, y in enumerate(toxic)], "doc_id long, toxic int")
+    small = toxicity.train(docs, labels, most=400)
+    fresh = [" ".join(f"w{rng.integers(8)}" for _ in range(6)) + " vile" for _ in range(200)]
+    assert np.mean([small.score(t) >= 0.5 for t in fresh]) < 0.3
+
+
 def test_langid(spark, odd_docs, no_docs):
     en = ["the house and the garden with a tree", "this is what they want for the evening", "where are the children going"]
     fr = ["la maison et le jardin avec un arbre", "voici ce que nous voulons pour la soirée", "où vont les enfants ce soir"]

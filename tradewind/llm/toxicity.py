@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tradewind.llm.store import read_table
 from tradewind.llm.text import ALNUM_TABLE
 
-#: Labelled documents that the model is fitted on at most: those of smallest hash, of each label half at most.
+#: Labelled documents that the model is fitted on at most: those of smallest hash, of each label half at most, weighed to the real ratio.
 TRAIN_DOCS = 8_000
 #: Features that get a weight: the ones in the most training documents, in MIN_DOCS at least.
 VOCABULARY = 100_000
@@ -53,8 +53,11 @@ class NoisyOr:
         self.weights, self.bias, self.known = weights, bias, {}
 
     @classmethod
-    def fit(cls, texts: list[str | None], labels: list[int]) -> NoisyOr:
-        """Full-batch gradient steps (Adam) on the document likelihood. Equal input gives equal weights."""
+    def fit(cls, texts: list[str | None], labels: list[int], stands: tuple[float, float] = (1.0, 1.0)) -> NoisyOr:
+        """Full-batch gradient steps (Adam) on the document likelihood. Equal input gives equal weights.
+
+        A document stands for stands[label] documents, for samples that take labels at different rates.
+        """
         parts: dict[bytes, list[bytes]] = {}
         seen: dict[bytes, int] = {}
         for t in texts:
@@ -78,7 +81,7 @@ class NoisyOr:
         ids, doc = np.array(ids, dtype=np.int32), np.array(doc, dtype=np.int32)
         sent = np.repeat(np.arange(len(doc), dtype=np.int32), np.array(lengths, dtype=np.int32))
         y = np.array(labels, dtype=np.float64)
-        used = np.bincount(doc, minlength=len(y)) > 0
+        used = np.where(y == 1, stands[1], stands[0]) * (np.bincount(doc, minlength=len(y)) > 0)
         theta, bias = np.zeros(len(names)), -6.0
         m, v, mb, vb = np.zeros(len(names)), np.zeros(len(names)), 0.0, 0.0
         for step in range(1, STEPS + 1):
@@ -122,21 +125,23 @@ class NoisyOr:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", most: int = TRAIN_DOCS) -> NoisyOr:
     """Fit on the labelled documents, `most` of them at most: a bound on what the driver holds, whatever the corpus size.
 
-    Up to half are positives, then negatives fill up; within a label those of smallest hash of the id are taken. Rows of
-    null label, and labels without a document, are not used. Labels that repeat an id count each. If a label is missing
+    Up to half are positives and up to half negatives; within a label those of smallest hash of the id are taken. A label
+    that is cut has its documents count for as many as there are, so the ratio of labels is that of all rows. Rows of null label, and labels without a document, are not used. Labels that repeat an id count each. If a label is missing
     altogether the model scores 0 throughout.
     """
     known = labels.where(F.col(label).isNotNull()).select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y"))
     order = F.xxhash64("id", F.lit(11))
     ones = known.where("y = 1").orderBy(order, "id").limit(most // 2)
     rest = known.where("y = 0").orderBy(order, "id").limit(most - most // 2)
+    counts = {r["y"]: r["n"] for r in known.where("y in (0, 1)").groupBy("y").agg(F.count("*").alias("n")).collect()}
+    stands = tuple(max(1.0, counts.get(y, 0) / max(1, room)) for y, room in enumerate((most - most // 2, most // 2)))
     # at most `most` rows of two numbers
     picked = F.broadcast(ones.union(rest))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("t")).join(picked, "id").select("id", "t", "y")
     got = sorted(((r["id"], r["t"] or "", r["y"]) for r in rows.toLocalIterator()), key=lambda r: (r[0], r[1], r[2]))
     if {0, 1} - {r[2] for r in got}:
         return NoisyOr({}, -40.0)
-    return NoisyOr.fit([r[1] for r in got], [r[2] for r in got])
+    return NoisyOr.fit([r[1] for r in got], [r[2] for r in got], stands)
 
 
 SCORES = "score double, worst array<struct<sentence:int,score:double>>"
