@@ -181,3 +181,11 @@ def test_windowed_stream(spark):
 
 def test_registry_pairs():
     assert set(registry.oracle_sql()) <= set(registry.queries()) and len(registry.queries()) > 100
+
+
+def test_grid_of_many_cards(spark):
+    from tradewind.sources.feeds import parse_grid
+
+    card = '<article class="card"><h3><a href="/p">Box</a></h3><span class="price">$5.00</span></article>'
+    pages = spark.createDataFrame([("u", "<main>" + card * 10_050), ("v", "no cards"), ("w", None)], "url string, html string")
+    assert parse_grid(pages).count() == 10_050

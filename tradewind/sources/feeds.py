@@ -25,7 +25,8 @@ def read_json_feed(spark: SparkSession, path: str) -> DataFrame:
 
 def cards_of(html: Column, split: str) -> Column:
     """The pieces of a page that start where `split` matches."""
-    return F.slice(F.split(html, f"(?={split})"), 2, 10_000)
+    parts = F.split(html, f"(?={split})")
+    return F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
 
 
 def parse_grid(pages: DataFrame, split: str = r'<article class="card') -> DataFrame:
