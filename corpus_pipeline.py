@@ -41,7 +41,7 @@ STAGES = [
     ("sharding", sharding),
 ]
 
-#: The stages hash words with functions that SQL lacks; tests/llm compares run() with a brute-force version.
+#: The stages hash words with functions that SQL lacks; no test runs run() as a whole.
 ORACLE_SQL = None
 
 
