@@ -30,7 +30,7 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return reshard.reshard(docs)
+    return reshard.reshard(docs, stored=True)
 
 
 STAGES = [
