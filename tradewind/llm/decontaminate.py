@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tradewind.llm.store import fresh, materialize, read_table
 from tradewind.llm.text import alnum_words
@@ -19,6 +19,8 @@ WINDOW = 10
 BLOCK_BYTES = 16 << 20
 #: Words of one shard, i.e. of one suffix array.
 SHARD_WORDS = 2_000_000
+#: Pairs of an occurrence and a place in an item that are looked at together.
+PAIRS = 4_000_000
 
 
 class TestSuffixes:
@@ -37,7 +39,11 @@ class TestSuffixes:
                 self.items.append(item)
         self.windows = list(starts)
         self.lengths = np.array([len(w) for w in self.windows], dtype=np.int64)
-        self.places = [starts[w] for w in self.windows]
+        #: Items and word positions of the places of each window, one window after another.
+        self.n_places = np.array([len(starts[w]) for w in self.windows], dtype=np.int64)
+        self.first_place = np.cumsum(self.n_places) - self.n_places
+        flat = np.array([x for w in self.windows for x in starts[w]], dtype=np.int64).reshape(-1, 2)
+        self.place_item, self.place_word = flat[:, 0], flat[:, 1]
         self.low = self._keys([w + (0,) * (window - len(w)) for w in self.windows])
         self.high = self._keys([w + (0xFFFFFFFF,) * (window - len(w)) for w in self.windows])
         size = len(self.vocab) + 1
@@ -96,11 +102,64 @@ class Shard:
         return self.suffixes[low[which] + offset], which
 
 
+def longest(doc: np.ndarray, at: np.ndarray, which: np.ndarray, test: TestSuffixes) -> list[tuple[int, int, int, int, int]]:
+    """(document, item number, item_start, doc_start, length in words) of the longest match of each document and item that share a window.
+
+    A match is a run of windows on one diagonal. doc ascends; at is a window's place in the document. Pairs of an occurrence and
+    a place in an item are made for some documents at a time, and for a document with very many for one item at a time, so memory
+    is bounded whatever is repeated. Of equal lengths the first in the document, then in the item, is taken.
+    """
+    out: list[tuple[int, int, int, int, int]] = []
+    pairs = np.cumsum(test.n_places[which])
+    begin = 0
+    while begin < len(doc):
+        done = pairs[begin - 1] if begin else 0
+        end = max(int(np.searchsorted(pairs, done + PAIRS, "right")), begin + 1)
+        if end < len(doc):  # whole documents
+            cut = int(np.searchsorted(doc, doc[end], "left"))
+            end = cut if cut > begin else int(np.searchsorted(doc, doc[begin], "right"))
+        d, p, w = doc[begin:end], at[begin:end], which[begin:end]
+        n = test.n_places[w]
+        if n.sum() <= PAIRS:
+            out += _runs(d, p, w, n, test, None)
+        else:
+            items = np.unique(np.concatenate([test.place_item[test.first_place[x] : test.first_place[x] + test.n_places[x]] for x in np.unique(w)]))
+            for item in items.tolist():
+                has = np.array([(test.place_item[test.first_place[x] : test.first_place[x] + test.n_places[x]] == item).any() for x in np.unique(w)])
+                some = np.isin(w, np.unique(w)[has])
+                out += _runs(d[some], p[some], w[some], n[some], test, item)
+        begin = end
+    return out
+
+
+def _runs(d, p, w, n, test: TestSuffixes, item: int | None) -> list[tuple[int, int, int, int, int]]:
+    if item is None:
+        hit = np.repeat(np.arange(len(d)), n)
+        place = test.first_place[w][hit] + np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n)
+    else:
+        mine = {x: (f := test.first_place[x]) + np.flatnonzero(test.place_item[f : f + test.n_places[x]] == item) for x in np.unique(w).tolist()}
+        sizes = np.array([len(mine[x]) for x in w.tolist()], dtype=np.int64)
+        hit, place = np.repeat(np.arange(len(d)), sizes), np.concatenate([mine[x] for x in w.tolist()])
+    of, j, at = test.place_item[place], test.place_word[place], p[hit]
+    order = np.lexsort((at, at - j, of, d[hit]))
+    of, j, at, doc, n_words = of[order], j[order], at[order], d[hit][order], test.lengths[w][hit][order]
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (of[1:] != of[:-1]) | (at[1:] - j[1:] != at[:-1] - j[:-1]) | (at[1:] != at[:-1] + 1)
+    first = np.flatnonzero(new)
+    length = np.diff(np.append(first, len(at))) - 1 + n_words[first]
+    doc, of, j, at = doc[first], of[first], j[first], at[first]
+    best = np.lexsort((j, at, -length, of, doc))
+    keep = np.ones(len(best), dtype=bool)
+    keep[1:] = (doc[best][1:] != doc[best][:-1]) | (of[best][1:] != of[best][:-1])
+    best = best[keep]
+    return list(zip(doc[best].tolist(), of[best].tolist(), j[best].tolist(), at[best].tolist(), length[best].tolist(), strict=True))
+
+
 def scan(texts: list[str | None], test: TestSuffixes) -> list[dict]:
     """For each text: n_words, hit (sorted, disjoint [start, end) word ranges) and matches.
 
-    matches are the longest verbatim matches (item, item_start, doc_start, length in words): runs of
-    windows on one diagonal, joined. A short item's match is the item.
+    matches has the longest verbatim match (item, item_start, doc_start, length in words) of each item that shares a window with
+    the text; see longest(). A short item's match is the item.
     """
     get, out = test.vocab.get, []
     docs, words = [], 0
@@ -113,20 +172,16 @@ def scan(texts: list[str | None], test: TestSuffixes) -> list[dict]:
             doc = np.searchsorted(shard.begins, at, "right") - 1
             local = at - shard.begins[doc]
             order = np.lexsort((local, doc))
-            runs: dict[tuple[int, int, int], list] = {}
-            for d, p, w in zip(doc[order].tolist(), local[order].tolist(), which[order].tolist(), strict=True):
-                n, hit = int(test.lengths[w]), rows[d]["hit"]
+            doc, local, which = doc[order], local[order], which[order]
+            ends = local + test.lengths[which]
+            for d, p, e in zip(doc.tolist(), local.tolist(), ends.tolist(), strict=True):
+                hit = rows[d]["hit"]
                 if hit and hit[-1][1] >= p:
-                    hit[-1][1] = max(hit[-1][1], p + n)
+                    hit[-1][1] = max(hit[-1][1], e)
                 else:
-                    hit.append([p, p + n])
-                for item, j in test.places[w]:
-                    run = runs.get((d, item, p - j))
-                    if run and run[2] + run[3] == p + n - 1:
-                        run[3] += 1
-                    else:
-                        runs[d, item, p - j] = run = [test.items[item], j, p, n]
-                        rows[d]["matches"].append(run)
+                    hit.append([p, e])
+            for d, item, j, p, n in longest(doc, local, which, test):
+                rows[d]["matches"].append([test.items[item], j, p, n])
         out.extend(rows)
 
     for text in texts:
@@ -141,19 +196,12 @@ def scan(texts: list[str | None], test: TestSuffixes) -> list[dict]:
     return out
 
 
-FOUND = T.StructType([
-    T.StructField("n_words", T.LongType()),
-    T.StructField("hit", T.ArrayType(T.ArrayType(T.LongType()))),
-    T.StructField("matches", T.ArrayType(T.StructType([
-        T.StructField("item_id", T.LongType()), T.StructField("item_start", T.LongType()),
-        T.StructField("doc_start", T.LongType()), T.StructField("length", T.LongType()),
-    ]))),
-])
-ARROW = pa.struct([
-    ("n_words", pa.int64()),
-    ("hit", pa.list_(pa.list_(pa.int64()))),
-    ("matches", pa.list_(pa.struct([(n, pa.int64()) for n in ("item_id", "item_start", "doc_start", "length")]))),
-])
+def found_type(item: T.DataType) -> T.StructType:
+    """Type of the struct that with_matches() adds, for items whose id is of this type."""
+    match = T.StructType([T.StructField("item_id", item), *(T.StructField(n, T.LongType()) for n in ("item_start", "doc_start", "length"))])
+    return T.StructType([
+        T.StructField("n_words", T.LongType()), T.StructField("hit", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("matches", T.ArrayType(match)),
+    ])
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple]]:
@@ -185,14 +233,16 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
     Every document is searched against every item. The benchmark is the stated query set: blocks of
     BLOCK_BYTES of it are broadcast, one pass over docs for each; between passes the table is written
     to the shared folder. Training text is never broadcast or shuffled. Null and empty texts have no
-    words; items without words are passed over; an item with a null id counts as a hit but
+    words; items without words are passed over; ids of items may be of any type; an item with a null id counts as a hit but
     is in `matches` with a null id. Repeated rows repeat their result. Other columns pass through; only
     `out` is replaced. Empty tables of either kind are fine.
     """
     spark = docs.sparkSession
     docs = docs.drop(out)
-    schema = T.StructType([*docs.schema.fields, T.StructField(out, FOUND)])
-    docs = docs.select("*", F.lit(None).cast(FOUND).alias(out))
+    found = found_type(benchmark.schema[item].dataType)
+    arrow = to_arrow_schema(T.StructType([T.StructField(out, found)])).field(0).type
+    schema = T.StructType([*docs.schema.fields, T.StructField(out, found)])
+    docs = docs.select("*", F.lit(None).cast(found).alias(out))
     blocks = _blocks(benchmark, item, item_text)
     for n, block in enumerate(blocks):
         docs = materialize(docs, "searched") if n else docs
@@ -206,7 +256,7 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
                     if old:
                         row["hit"] = _union(old["hit"] + row["hit"])
                         row["matches"] = old["matches"] + row["matches"]
-                cols = [pa.array(rows, type=ARROW) if name == out else batch.column(name) for name in batch.schema.names]
+                cols = [pa.array(rows, type=arrow) if name == out else batch.column(name) for name in batch.schema.names]
                 yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
 
         docs = docs.mapInArrow(search, schema)
