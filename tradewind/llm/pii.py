@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tradewind.llm.store import read_table
 
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
 BASE = KINDS[:4]
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -23,9 +24,14 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 SSN = re.compile(r"(?<![0-9A-Za-z-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z-])")
 
+#: A run that a key or a password may be; the validator asks for mixed and varied characters.
+SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}")
+#: Bits of entropy a character that a secret has at least.
+MIN_BITS = 3.0
+
 #: Characters on either side of a span that are searched for context words.
 NEAR = 60
-PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.7, "phone": 0.7, "iban": 0.8, "ssn": 0.4}
+PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.7, "phone": 0.7, "iban": 0.8, "ssn": 0.4, "secret": 0.4}
 HELPS = {
     "email": re.compile(r"\b(?:e-?mail|contact|write|mailto|reply)\b", re.I),
     "ip": re.compile(r"\b(?:ip|address|host|login|server)\b", re.I),
@@ -33,11 +39,12 @@ HELPS = {
     "phone": re.compile(r"\b(?:phone|call|tel|mobile|fax|whatsapp|contact)\b", re.I),
     "iban": re.compile(r"\b(?:iban|bank|account|swift|bic|transfer)\b", re.I),
     "ssn": re.compile(r"\b(?:ssn|social|security|taxpayer|tin)\b", re.I),
+    "secret": re.compile(r"(?<![A-Za-z])(?:token|secret|password|passwd|pwd|credentials?|bearer|(?:api|access|private|auth)[ _-]?key)(?![A-Za-z])", re.I),
 }
 HURTS = re.compile(r"\b(?:version|isbn|order|invoice|serial|part|sku|example|sample|test|dummy)\b", re.I)
 UP, DOWN = 0.2, 0.3
-#: Spans of the added kinds need this score; base spans stay whatever their score.
-KEEP = 0.5
+#: Spans of the added kinds need this score, so a word that speaks against one decides unless another speaks for it; base spans stay whatever their score.
+KEEP = 0.55
 
 
 def luhn(digits: str) -> bool:
@@ -50,6 +57,13 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
 
 
+def varied(run: str) -> bool:
+    """Letters and digits, and MIN_BITS of entropy a character."""
+    counts = [run.count(c) for c in set(run)]
+    bits = -sum(n * math.log2(n / len(run)) for n in counts) / len(run)
+    return bits >= MIN_BITS and any(c.isdigit() for c in run) and any(c.isalpha() for c in run)
+
+
 def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
@@ -97,6 +111,11 @@ def candidates(text: str) -> Iterator[tuple[str, int, int]]:
         yield "iban", s, e
     for m in SSN.finditer(text):
         yield "ssn", m.start(), m.end()
+    # without a word for it a secret has not the score to stay
+    if HELPS["secret"].search(text):
+        for m in SECRET.finditer(text):
+            if varied(m[0]):
+                yield "secret", m.start(), m.end()
 
 
 def find_spans(text: str | None) -> list[tuple[str, int, int, float]]:
@@ -123,8 +142,8 @@ def with_spans(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFra
     """docs plus an array of (kind, start, end, score) of each whole text.
 
     Base kinds (email, ip, card by Luhn, phone) are exactly the leftmost non-overlapping matches that
-    pass their check. Added kinds (iban by mod 97, ssn by its number ranges and context words) need
-    a score of KEEP. Spans of different kinds may overlap. A null or empty text has an empty array;
+    pass their check. Added kinds (iban by mod 97, ssn by its number ranges, secret by its entropy) need
+    a score of KEEP, which words nearby raise and lower. Spans of different kinds may overlap. A null or empty text has an empty array;
     rows are independent, so repeated rows repeat their result.
     """
     return docs.withColumn(out, F.pandas_udf(_all_spans, SPANS)(F.col(text)))
@@ -159,10 +178,11 @@ def _digest(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             named = [f"{k}:{s}:{e}" for k, s, e, _ in spans]
             base = [x for x, (k, *_) in zip(named, spans, strict=True) if k in BASE]
             counts = [sum(x[0] == k for x in spans) for k in BASE]
-            rows.append((*counts, hashlib.sha256(",".join(base).encode()).hexdigest(), ",".join(named)))
-        yield pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+            scores = ",".join(f"{x[3]:.2f}" for x in spans)
+            rows.append((*counts, hashlib.sha256(",".join(base).encode()).hexdigest(), ",".join(named), scores, len(spans) - len(base)))
+        yield pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "scores", "n_added"])
 
 
 def op9_pii(spark, sf_dir: str) -> DataFrame:
-    digest = F.pandas_udf(_digest, "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    digest = F.pandas_udf(_digest, "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, scores string, n_added long")
     return read_table(spark, sf_dir, "documents").select("doc_id", digest("text").alias("d")).select("doc_id", "d.*")
