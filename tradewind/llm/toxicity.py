@@ -33,6 +33,19 @@ def sentences(text: str | None) -> list[list[bytes]]:
     return [w for s in ENDS.split(data) if (w := s.translate(ALNUM_TABLE).split())]
 
 
+def sentence_spans(text: str | None) -> list[tuple[int, int]]:
+    """Code points where each sentence of sentences() begins and ends."""
+    data = (text or "").encode("utf-8", "surrogatepass")
+    out, start, at, before = [], 0, 0, 0
+    for end, after in [*(m.span() for m in ENDS.finditer(data)), (len(data), len(data))]:
+        if data[start:end].translate(ALNUM_TABLE).split():
+            first = before + len(data[at:start].decode("utf-8", "surrogatepass"))
+            at, before = start, first
+            out.append((first, first + len(data[start:end].decode("utf-8", "surrogatepass"))))
+        start = after
+    return out
+
+
 #: Lengths in bytes of the word beginnings that are features beside whole words: inflected forms share them.
 PREFIXES = (5, 6, 7, 8)
 #: Words whose sum of weights a worker remembers.
@@ -144,11 +157,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     return NoisyOr.fit([r[1] for r in got], [r[2] for r in got], stands)
 
 
-SCORES = "score double, worst array<struct<sentence:int,score:double>>"
+SCORES = "score double, worst array<struct<sentence:int,start:int,end:int,score:double>>"
 
 
 def with_toxicity(docs: DataFrame, model: NoisyOr, text: str = "text", out: str = "toxicity", offending: float = 0.5) -> DataFrame:
-    """docs plus a struct: the document's score and the sentences (numbered from 0) that score `offending` or more.
+    """docs plus a struct: the document's score and the sentences that score `offending` or more: number from 0, code points
+    where it starts and ends, and score.
 
     The model is broadcast; its size is bounded by VOCABULARY words. Null, empty and wordless texts score 0. Rows are
     scored whole and alone, so repeated rows repeat their score; other columns pass through.
@@ -161,7 +175,9 @@ def with_toxicity(docs: DataFrame, model: NoisyOr, text: str = "text", out: str
             for t in part:
                 each = shared.value.sentence_scores(t)
                 clean = float(np.prod(1 - np.array(each))) if each else 1.0
-                rows.append((1 - clean, [{"sentence": i, "score": float(p)} for i, p in enumerate(each) if p >= offending]))
+                bad = [i for i, p in enumerate(each) if p >= offending]
+                spans = sentence_spans(t) if bad else []
+                rows.append((1 - clean, [{"sentence": i, "start": spans[i][0], "end": spans[i][1], "score": float(each[i])} for i in bad]))
             yield pd.DataFrame(rows, columns=["score", "worst"])
 
     return docs.withColumn(out, F.pandas_udf(scores, SCORES)(F.col(text)))
@@ -178,4 +194,5 @@ def op2_toxicity(spark, sf_dir: str) -> DataFrame:
     model = train(docs, labels)
     found = with_toxicity(docs, model)
     score = F.col("toxicity.score")
-    return found.select("doc_id", (fold_of("doc_id", FOLDS) == HELD_FOLD).alias("held_out"), score.alias("score"), F.when(score >= 0.5, 1).otherwise(0).alias("predicted"), F.size("toxicity.worst").alias("n_offending"))
+    offending = F.array_join(F.transform("toxicity.worst", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return found.select("doc_id", (fold_of("doc_id", FOLDS) == HELD_FOLD).alias("held_out"), score.alias("score"), F.when(score >= 0.5, 1).otherwise(0).alias("predicted"), F.size("toxicity.worst").alias("n_offending"), offending.alias("offending"))
