@@ -31,3 +31,15 @@ def differences(a: DataFrame, b: DataFrame) -> DataFrame:
 def overwrite_partitions(rows: DataFrame, path: str, by: str) -> None:
     """Replace the partitions that rows has; the others stay as they are."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def upsert(stored: DataFrame, fresh: DataFrame, key: str, missing: dict[str, Column], prune: Column) -> DataFrame:
+    """fresh over stored by key, with the columns of stored: rows only stored take the values of `missing`, or go where `prune` holds.
+
+    One full outer join. Null keys never match: both sides keep theirs.
+    """
+    old = stored.select(F.struct(*stored.columns).alias("old"), F.col(key).alias("k"))
+    new = fresh.select(F.struct(*stored.columns).alias("new"), F.col(key).alias("k"))
+    rows = old.join(new, "k", "full")
+    kept = rows.select(F.col("new").isNotNull().alias("here"), *[F.when(F.col("new").isNotNull(), F.col(f"new.{c}")).otherwise(missing.get(c, F.col(f"old.{c}"))).alias(c) for c in stored.columns])
+    return kept.where(F.col("here") | ~F.coalesce(prune, F.lit(False))).drop("here")

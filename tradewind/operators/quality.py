@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LOW_SHARE, LOW_LEAST = 4, 3
+LOW_SHARE, LOW_LEAST = 0.25, 3
 HIGH_TIMES = 3
 
 
@@ -16,10 +16,10 @@ def with_median(rows: DataFrame, by: list[str], price: str = "price", where: Col
     return rows.join(mids, by, "left")
 
 
-def drop_low_outliers(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Drops in-stock prices under a quarter of the group's in-stock median, where it has LOW_LEAST or more."""
+def drop_low_outliers(rows: DataFrame, by: list[str], share: float = LOW_SHARE) -> DataFrame:
+    """Drops in-stock prices under a share of the group's in-stock median, where it has LOW_LEAST or more."""
     judged = with_median(rows, by, where=F.col("in_stock"))
-    bad = F.col("in_stock") & (F.col("n") >= LOW_LEAST) & (F.col("price") * LOW_SHARE < F.col("mid"))
+    bad = F.col("in_stock") & (F.col("n") >= LOW_LEAST) & (F.col("price") < F.col("mid") * share)
     return judged.where(~F.coalesce(bad, F.lit(False))).select(rows.columns)
 
 

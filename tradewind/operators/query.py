@@ -56,7 +56,10 @@ def _scalar(col: Column, cond, kind: str) -> Column:
     if not isinstance(cond, dict):
         _same_kind(kind, cond)
         return col == cond
-    fold = cond.get("mode") == "insensitive"
+    mode = cond.get("mode", "default")
+    if mode not in ("default", "insensitive"):
+        raise UnsupportedQuery(f"unknown mode {mode!r}")
+    fold = mode == "insensitive"
     if fold:
         col = F.lower(col)
 
@@ -74,7 +77,7 @@ def _scalar(col: Column, cond, kind: str) -> Column:
             if value is None:
                 parts.append(col.isNotNull())
             elif isinstance(value, dict):
-                parts.append(~_scalar(col, value, kind) & col.isNotNull())
+                parts.append(~_scalar(col, {"mode": mode, **value}, kind) & col.isNotNull())
             else:
                 parts.append(col != lit(value))
         elif op == "in":
@@ -260,12 +263,15 @@ class Read:
         if distinct:
             names = [distinct] if isinstance(distinct, str) else list(distinct)
             df = df.withColumn("__d", F.row_number().over(Window.partitionBy(*names).orderBy(*order))).where("__d = 1").drop("__d")
-        if skip or take is not None:
-            df = df.orderBy(*order)
-            df = df.offset(skip) if skip else df
-            df = df.limit(take) if take is not None else df
-        df, out = self._project(df, m, select, include)
-        return df.select(*out)
+        if take is None:
+            df, out = self._project(df, m, select, include)
+            df = df.orderBy(*order) if order_by or skip else df
+            return (df.offset(skip) if skip else df).select(*out)
+        # the joins of the projection keep no order: places are numbered within the page, which `take` bounds, and sorted last
+        page = df.orderBy(*order).offset(skip).limit(take)
+        page = page.withColumn("__at", F.row_number().over(Window.partitionBy().orderBy(*order)))
+        df, out = self._project(page, m, select, include)
+        return df.orderBy("__at").select(*out)
 
     def find_unique(self, model: str, where: dict, **args) -> DataFrame:
         return self.find_many(model, where, take=1, **args)

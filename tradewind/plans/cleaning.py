@@ -120,8 +120,13 @@ def six_months_back(v):
     return v.raw("orders").select("o_orderkey", calc.js_months_back(F.to_date("o_orderdate"), 6).alias("back"))
 
 
-@query("""low AS (SELECT product_id, market FROM stat WHERE lowest IS NOT NULL AND NOT EXISTS (SELECT 1 FROM offer o WHERE o.product_id = stat.product_id AND o.market = stat.market AND o.in_stock AND o.price = stat.lowest))
-SELECT count(*) AS violations FROM low""")
+@query(f"""{MID},
+kept AS (SELECT o.* FROM offer o JOIN mid USING (product_id, market) WHERE in_stock AND NOT coalesce(n >= 3 AND price * 4 < mid * 3, false)),
+real AS (SELECT product_id, market, min(price) AS real FROM kept GROUP BY 1, 2)
+SELECT market, count(*) AS headlines, count(*) FILTER (lowest < real) AS violations FROM stat JOIN real USING (product_id, market) GROUP BY 1""")
 def gate_headline_is_real(v):
-    real = v.offer.where("in_stock").select("product_id", "market", F.col("price").alias("lowest"))
-    return v.stat.where("lowest is not null").join(real, ["product_id", "market", "lowest"], "left_anti").agg(F.count("*").alias("violations"))
+    """Headlines below every price that stands near its product's median: each is a violation."""
+    near = quality.drop_low_outliers(v.offer.where("in_stock"), BY, 0.75)
+    real = near.groupBy(*BY).agg(F.min("price").alias("real"))
+    found = v.stat.where("lowest is not null").join(real, BY)
+    return found.groupBy("market").agg(F.count("*").alias("headlines"), F.count_if(F.col("lowest") < F.col("real")).alias("violations"))

@@ -78,9 +78,11 @@ def store_counts(v):
     return stats.store_counts(v.offer)
 
 
-@query("SELECT store, market, count(*) AS listed, count(*) FILTER (in_stock) AS open FROM offer GROUP BY 1, 2 HAVING count(*) >= 20 AND count(*) FILTER (in_stock) = 0")
+@query("""SELECT store, market, count(*) AS listed, count(*) FILTER (in_stock) AS open FROM offer WHERE price BETWEEN 300000 AND 310000
+GROUP BY 1, 2 HAVING count(*) >= 2 AND count(*) FILTER (in_stock) = 0""")
 def dormant_stores(v):
-    return stats.dormant_stores(v.offer, 20)
+    """Of the offers in one band of prices, where some stores have none in stock."""
+    return stats.dormant_stores(v.offer.where("price between 300000 and 310000"), 2)
 
 
 @query("SELECT market, store, open FROM (SELECT market, store, count(*) AS open, row_number() OVER (PARTITION BY market ORDER BY count(*) DESC, store) AS rn FROM offer WHERE in_stock GROUP BY 1, 2) WHERE rn <= 12")
@@ -178,9 +180,9 @@ def in_both_markets(v):
     return opened("ASIA").intersect(opened("EUROPE"))
 
 
-@query("SELECT id FROM product WHERE id NOT IN (SELECT product_id FROM stat WHERE in_stock_stores > 0)")
+@query("SELECT id FROM product WHERE id NOT IN (SELECT product_id FROM stat WHERE in_stock_stores > 0 AND market = 'ASIA')")
 def never_open(v):
-    return v.product.select("id").join(v.stat.where(stats.is_open()), F.col("id") == F.col("product_id"), "left_anti")
+    return v.product.select("id").join(v.stat.where(stats.is_open() & (F.col("market") == "ASIA")), F.col("id") == F.col("product_id"), "left_anti")
 
 
 @query("SELECT a.product_id, a.market AS buy_market, b.market AS sell_market, b.lowest - a.lowest AS gap FROM stat a JOIN stat b ON a.product_id = b.product_id AND a.market < b.market WHERE b.lowest > a.lowest * 2")
@@ -227,7 +229,7 @@ def best_basket_one_store(v):
 @query("""SELECT id, pos FROM (SELECT unnest([901, 3, 44, 7, 12, 3]) AS id, unnest([0, 1, 2, 3, 4, 5]) AS pos) JOIN product USING (id)""")
 def lookup_in_given_order(v):
     wanted = v.spark.createDataFrame([(i, n) for n, i in enumerate([901, 3, 44, 7, 12, 3])], "id long, pos int")
-    return wanted.join(v.product.select("id"), "id").select("id", "pos")
+    return wanted.join(v.product.select("id"), "id").select("id", "pos").orderBy("pos")
 
 
 @query("""SELECT market, product_type, units, now, priced FROM (SELECT market, product_type, CAST(sum(size) AS BIGINT) AS units, CAST(sum(lowest * size) AS BIGINT) AS now, count(lowest) AS priced FROM card GROUP BY 1, 2)""")

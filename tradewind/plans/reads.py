@@ -44,9 +44,9 @@ def read_some(v):
     return read(v).find_many("Product", {"offers": {"some": {"in_stock": True, "price": {"lt": 100_000}}}}, select={"id": True})
 
 
-@query("SELECT id FROM product p WHERE NOT EXISTS (SELECT 1 FROM offer o WHERE o.product_id = p.id AND o.in_stock)")
+@query("SELECT id FROM product p WHERE NOT EXISTS (SELECT 1 FROM offer o WHERE o.product_id = p.id AND o.in_stock AND o.price < 100000)")
 def read_none(v):
-    return read(v).find_many("Product", {"offers": {"none": {"in_stock": True}}}, select={"id": True})
+    return read(v).find_many("Product", {"offers": {"none": {"in_stock": True, "price": {"lt": 100_000}}}}, select={"id": True})
 
 
 @query("SELECT id FROM product p WHERE NOT EXISTS (SELECT 1 FROM stat s WHERE s.product_id = p.id AND NOT coalesce(s.lowest >= 95000, false))")

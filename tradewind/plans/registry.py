@@ -24,7 +24,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def _load() -> None:
-    from tradewind.plans import cleaning, loaders, market, reads, series, texts  # noqa: F401
+    from tradewind.plans import boards, cleaning, loaders, market, reads, series, texts, titles  # noqa: F401
 
 
 def queries() -> dict:

@@ -93,8 +93,9 @@ def market_wrap(v):
 
 
 @query("""weeks AS (SELECT market, product_id, CAST(date_trunc('week', day) AS DATE) AS week, min(price) AS price FROM history GROUP BY 1, 2, 3),
-r AS (SELECT market, product_id, week, price, row_number() OVER (PARTITION BY market, week ORDER BY price, product_id) AS rank FROM weeks)
-SELECT a.market, a.product_id, a.week, a.rank, b.rank AS last_rank FROM r a LEFT JOIN r b ON a.market = b.market AND a.product_id = b.product_id AND b.week = a.week - INTERVAL 7 DAY WHERE a.rank <= 5""")
+r AS MATERIALIZED (SELECT market, product_id, week, row_number() OVER (PARTITION BY market, week ORDER BY price, product_id) AS rank FROM weeks),
+last AS MATERIALIZED (SELECT market, product_id, week + 7 AS week, rank AS last_rank FROM r)
+SELECT market, product_id, week, rank, last_rank FROM (SELECT * FROM r WHERE rank <= 5) LEFT JOIN last USING (market, product_id, week)""")
 def weekly_ranks(v):
     weeks = v.history.groupBy(*KEY, F.to_date(F.date_trunc("week", "day")).alias("week")).agg(F.min("price").alias("price"))
     ranked = weeks.withColumn("rank", F.row_number().over(Window.partitionBy("market", "week").orderBy("price", "product_id")))
