@@ -16,14 +16,14 @@ from tradewind.llm.store import read_table, scratch_path
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
-#: Pieces that a worker keeps encoded; further new pieces are kept for one batch only.
-KNOWN_PIECES = 650_000
+#: Pieces that a worker keeps encoded; see Encoder._forget().
+KNOWN_PIECES = 500_000
 #: Documents that are encoded in one call.
-CALL_ROWS = 1000
+CALL_ROWS = 500
 #: UTF-8 bytes of text that one file holds, about.
 FILE_BYTES = 64 << 20
-#: Two white-space characters in a row, or one that is neither a space nor a line feed.
-ODD_SPACE = re.compile(r"\s\s|[^\S \n]")
+#: A white-space character that is neither a space nor a line feed, or nothing but a space.
+ODD_SPACE = re.compile(r"[^\S \n]|^ $")
 
 _encoders: dict[str, Encoder] = {}
 
@@ -44,6 +44,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.line_feed = self._whole("\n")
         self.known = {"": b"", "\n": self.line_feed}
+        self.met = np.zeros(1 << 24, dtype=bool)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -52,16 +53,16 @@ class Encoder:
         return self._ids(text).tobytes()
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        alone = [p for p in pieces if p.isspace()]
         together = [p for p in pieces if not p.isspace()]
-        found = {p: self._whole(p) for p in alone}
+        found = {p: self._whole(p) for p in pieces if p.isspace()}
         feed = int.from_bytes(self.line_feed, "little")
         for at in range(0, len(together), 500):
             part = together[at : at + 500]
             ids = self._ids("\n".join(part))
-            cuts, data = np.flatnonzero(ids == feed).tolist(), ids.tobytes()
-            starts, ends = [0, *[4 * c + 4 for c in cuts]], [*[4 * c for c in cuts], len(data)]
-            found.update((p, data[a:b]) for p, a, b in zip(part, starts, ends, strict=True))
+            cuts, data = (4 * np.flatnonzero(ids == feed)).tolist(), ids.tobytes()
+            cuts.append(len(data))
+            found[part[0]] = data[: cuts[0]]
+            found.update(zip(part[1:], map(data.__getitem__, map(slice, [c + 4 for c in cuts], cuts[1:])), strict=True))
         return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -71,17 +72,34 @@ class Encoder:
         for text in texts:
             if not text:
                 split.append([])
-            elif "\0" in text or "<|" in text or ODD_SPACE.search(text):
+            elif "\0" in text or "<|" in text or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
                 split.append(None)
             else:
                 split.append(text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0"))
-        new = self._learn(list(set().union(*filter(None, split)).difference(known)))
-        known.update(new)
+        new = list(set().union(*filter(None, split)).difference(known))
+        odd = {p for p in new if ODD_SPACE.search(p)}
+        if odd:
+            split = [p if p is None or odd.isdisjoint(p) else None for p in split]
+            new = [p for p in new if p not in odd]
+        learned = self._learn(new)
+        known.update(learned)
         out = [self._whole(t) + end if p is None else b"".join(map(known.__getitem__, p)) + end for t, p in zip(texts, split, strict=True)]
-        for p in list(new)[: max(0, len(known) - KNOWN_PIECES)]:
-            del known[p]
+        self._forget(new)
         return out
 
+    def _forget(self, new: list[str]) -> None:
+        """Keep new pieces while half the memory is free, then those that are met again, by a table of bits, until it is full."""
+        if not new or len(self.known) <= KNOWN_PIECES // 2:
+            return
+        at = np.fromiter(map(hash, new), dtype=np.int64, count=len(new)) & (len(self.met) - 1)
+        again = self.met[at]
+        self.met[at] = True
+        room = KNOWN_PIECES - (len(self.known) - len(new))
+        keep = again & (np.cumsum(again) <= room)
+        for p, kept in zip(new, keep.tolist(), strict=True):
+            if not kept:
+                del self.known[p]
+
 
 def _encoder(path: str) -> Encoder:
     if path not in _encoders:
