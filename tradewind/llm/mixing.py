@@ -1,12 +1,13 @@
 """Mixing to target weights by soft membership: posteriors of a labelled-table classifier, rates by projected gradient.
 
-Everything here is DataFrame and SQL; the driver handles a matrix with one row for each domain.
+Everything here is DataFrame and SQL; the driver handles vectors and matrices with a few rows for each domain.
 """
 
 from __future__ import annotations
 
 import logging
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,92 +16,200 @@ from tradewind.llm.store import drop, materialize, read_table
 
 log = logging.getLogger(__name__)
 
-#: Buckets that words are hashed into for the classifier.
-BUCKETS = 1 << 18
-#: Words of the pooled distribution that each domain's counts are filled up with, so that small domains have no bias.
-SMOOTH = 300_000.0
-#: A bucket speaks for or against a domain only if its count is this many standard deviations from the pooled share.
-SIGNIFICANT = 5.0
-#: A text of more words than this has its log odds scaled down to as many: words of one text are not independent.
-WORDS_HEARD = 400.0
+#: Labelled documents that the classifier is fitted on at most: those of smallest hash of the id.
+LABELLED = 20_000
+#: Words and shapes that have a weight at most: those whose counts by domain stand out most.
+VOCABULARY = 256
+#: A word stands out if its count in a domain is this many standard deviations from what the domain's share gives.
+SIGNIFICANT = 3.0
+#: Documents that each domain's counts are filled up with, at the pooled rate of the word.
+FILL = 10.0
+#: Parts of the labelled documents; each is scored by the words of the others before weights are calibrated.
+FOLDS = 5
+#: Newton steps of the calibration, and the penalty on its squared weights.
+NEWTON, RIDGE = 12, 1.0
 #: Steps of the projected gradient after which it is an error that it has not settled; WRITTEN of them lie between two written tables.
-STEPS, WRITTEN = 1_000, 8
-#: The projected gradient counts as zero when rates still move by this much, as a root mean square by tokens.
+STEPS, WRITTEN = 2_000, 8
+#: The gradient counts as zero when a step of full length moves rates by less, as a root mean square by tokens.
 STILL = 1e-5
 #: The domains of the query and the pipeline, by labels: and the share of tokens that each is to have.
 TARGETS = {"good": 0.92, "poor": 0.05, "toxic": 0.03}
+SYMBOLS = "#*$%&|<>"
 
 
-#: Stands once at the end of every row's words; no word is a line feed.
-MARK = "\n"
+def words_of(text: str) -> Column:
+    """Lower-cased runs of ASCII letters, digits and anything beyond ASCII; some elements may be empty. Null has none."""
+    return F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")
 
 
-def tokens_of(text: str) -> Column:
-    """Array of the words of a row, some of them empty, and MARK; null has MARK only."""
-    lowered = F.lower(F.coalesce(F.col(text), F.lit("")))
-    return F.array_append(F.split(lowered, "[\\x20\\x09-\\x0D]+"), F.lit(MARK))
+def evidence(text: str, words: str) -> Column:
+    """The words of a text and two shapes of it: how often words recur at its length, and how many symbols it has a word.
 
-
-def bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
-
-
-def row_key(id_col: str, text: str) -> Column:
-    """Rows alike in id and text share a key."""
-    return F.xxhash64(F.col(id_col), F.col(text), F.lit(1))
-
-
-def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str, text: str) -> tuple[DataFrame, list[float]]:
-    """(table, prior): naive Bayes over hashed words, from all labelled rows.
-
-    Copies of a text count once, and a word once a text. labelled has (id, domain); table has (b, w: array of one log odds against the pooled share by domain) and BUCKETS rows at most.
+    A shape starts with a line feed, as no word does.
     """
-    known = labelled.where(F.col("domain").isin(domains)).select(F.col("id").alias("kid"), "domain").distinct()
-    texts = docs.join(known, docs[id_col] == known["kid"]).groupBy(F.xxhash64(text).alias("h"), "domain").agg(F.first(text).alias(text))
-    tokens = texts.select("h", "domain", F.explode(F.array_distinct(tokens_of(text))).alias("w")).where("w <> ''")
-    hashed = tokens.select("domain", F.when(F.col("w") == MARK, -1).otherwise(bucket(F.col("w"))).alias("b"))
-    counts = materialize(hashed.groupBy("b").agg(*[F.count_if(F.col("domain") == d).alias(f"n{i}") for i, d in enumerate(domains)]), "classifier")
-    rows = counts.where("b = -1").first()
-    have = [rows[f"n{i}"] if rows else 0 for i in range(len(domains))]
-    counts = counts.where("b >= 0")
-    sums = counts.agg(*[F.coalesce(F.sum(f"n{i}"), F.lit(0)).alias(f"n{i}") for i in range(len(domains))]).first()
-    pooled, every = sum((F.col(f"n{i}") for i in range(1, len(domains))), F.col("n0")), max(1, sum(sums))
-
-    def log_odds(i: int) -> Column:
-        usual = pooled * (sums[i] / every)
-        sure = F.abs(F.col(f"n{i}") - usual) >= SIGNIFICANT * F.sqrt(usual + 1)
-        filled = (F.col(f"n{i}") + SMOOTH * pooled / every) / ((sums[i] + SMOOTH) * pooled / every)
-        return F.when(sure & (pooled > 0), F.log(filled)).otherwise(F.lit(0.0))
-
-    table = counts.select("b", F.array(*[log_odds(i) for i in range(len(domains))]).alias("w")).where(F.exists("w", lambda x: x != 0))
-    return table, [(n + 1) / (sum(have) + len(domains)) for n in have]
-
-
-def memberships(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, times, n_tokens, p) for each distinct row: how often it occurs, its words and an end, its posterior by domain.
-
-    Words are weighed where they are read, by a join with the broadcast table of BUCKETS rows, and summed by row before the
-    shuffle. A text without words has the prior.
+    n = F.size(words)
+    size = F.least(F.floor(F.log2(n.cast("double"))), F.lit(14))
+    fresh_share = F.floor(10 * F.size(F.array_distinct(words)) / n)
+    symbols = F.octet_length(F.coalesce(F.col(text), F.lit(""))) - F.octet_length(F.translate(F.coalesce(F.col(text), F.lit("")), SYMBOLS, ""))
+    shapes = F.array(F.concat(F.lit("\nr"), size, F.lit("/"), fresh_share), F.concat(F.lit("\ns"), F.least(F.lit(9), F.floor(4 * symbols / n))))
+    return F.concat(F.col(words), shapes)
+
+
+def n_tokens_of(words: str) -> Column:
+    """The words of a row and an end. Only the first and the last element of words_of() can be empty."""
+    n, w = F.size(words), F.col(words)
+    return (n - (w[0] == "").cast("int") - ((n > 1) & (F.element_at(w, -1) == "")).cast("int") + 1).cast("long")
+
+
+@dataclass
+class Words:
+    """Words or shapes that stand out, and their log odds by domain against the pooled rate."""
+
+    names: list[str]
+    odds: list[list[float]]
+
+    def found(self, seen: str) -> Column:
+        """Array of those distinct elements of `seen` that are known."""
+        return F.array_intersect(F.col(seen), F.lit(self.names)) if self.names else F.array().cast("array<string>")
+
+    def scores(self, found: str, domains: int) -> Column:
+        """Array of one sum of log odds a domain, over the elements of `found`, each on an inverse-sine scale."""
+        if not self.names:
+            return F.array_repeat(F.lit(0.0), domains)
+        names = F.lit(self.names)
+        tables = [F.lit([row[d] for row in self.odds]) for d in range(domains)]
+        total = lambda table: F.aggregate(F.col(found), F.lit(0.0), lambda s, w: s + F.element_at(table, F.array_position(names, w).cast("int")))
+        return F.array(*[F.asinh(total(t)) for t in tables])
+
+
+@dataclass
+class Classifier:
+    domains: list[str]
+    words: Words
+    #: weights of the scores and a constant, for each domain but the first
+    weights: list[list[float]]
+    #: mean log loss on the labelled documents that neither chose words nor weights, and that of the domains' shares alone
+    loss: float
+    prior_loss: float
+
+    def posterior(self, scores: str) -> Column:
+        return softmax(self.weights, scores, len(self.domains))
+
+
+def softmax(weights: list[list[float]], scores: str, k: int) -> Column:
+    """Array of one probability a domain. The weights are constants that all calls share compiled code for."""
+    x = F.array_append(F.col(scores), F.lit(1.0))
+    dot = lambda w: F.aggregate(F.zip_with(F.lit(w), x, lambda a, b: a * b), F.lit(0.0), lambda s, y: s + y)
+    logits = F.array(F.lit(0.0), *[dot([float(y) for y in w]) for w in weights])
+    odds = F.transform(F.array(F.struct(logits.alias("z"))), lambda r: F.transform(r["z"], lambda z: F.exp(z - F.array_max(r["z"]))))
+    return F.transform(odds, lambda r: F.transform(r, lambda o: o / F.aggregate(r, F.lit(0.0), lambda s, y: s + y)))[0]
+
+
+def _chosen(counts: DataFrame, have: list[list[int]], skip: int | None) -> Words:
+    """The words that stand out, from the counts of all folds but one. have has the documents of each domain and fold."""
+    k, folds = len(have), [f for f in range(FOLDS) if f != skip]
+    docs = [float(sum(have[d][f] for f in folds)) for d in range(k)]
+    every = sum(docs)
+    if not every:
+        return Words([], [])
+    by = counts.select("w", *[sum((F.col(f"n{d}_{f}") for f in folds), F.lit(0)).alias(f"n{d}") for d in range(k)])
+    all_of = sum((F.col(f"n{d}") for d in range(1, k)), F.col("n0"))
+    apart = [F.abs(F.col(f"n{d}") - all_of * (h / every)) / F.sqrt(all_of * (h / every) * (1 - h / every) + 1) for d, h in enumerate(docs)]
+    most = F.greatest(*apart) if k > 1 else apart[0]
+    rows = by.withColumn("z", most).where(F.col("z") >= SIGNIFICANT).orderBy(F.desc("z"), "w").limit(VOCABULARY).collect()
+    odds = []
+    for r in rows:
+        c = [r[f"n{d}"] for d in range(k)]
+        q = (sum(c) + 0.5) / (every + 1)
+        odds.append([math.log((x + FILL * q) / (h + FILL) / q) for x, h in zip(c, docs, strict=True)])
+    return Words([r["w"] for r in rows], odds)
+
+
+def _calibrated(scored: DataFrame, k: int) -> list[list[float]]:
+    """Multinomial logistic weights on scored (s, y: int), by Newton steps; each is one grouped sum of a few numbers."""
+    m = (k - 1) * (k + 1)
+    at, step, best = [0.0] * m, [0.0] * m, math.inf
+    kept = list(at)
+    shape = lambda v: [v[d * (k + 1) : (d + 1) * (k + 1)] for d in range(k - 1)]
+    ridge = [RIDGE if j % (k + 1) < k else 1e-3 for j in range(m)]
+    x = [*[f"s[{j}]" for j in range(k)], "1D"]
+    over = [f"(p[{d + 1}] - cast(y = {d + 1} as double))" for d in range(k - 1)]
+    curve = lambda a, b: f"p[{a + 1}] * ({int(a == b)} - p[{b + 1}])"
+    pairs = [(i, j) for i in range(m) for j in range(i, m)]
+    sums = ["sum(-ln(greatest(p[y], 1e-300D)))", *[f"sum({over[i // (k + 1)]} * {x[i % (k + 1)]})" for i in range(m)]]
+    sums += [f"sum({curve(i // (k + 1), j // (k + 1))} * {x[i % (k + 1)]} * {x[j % (k + 1)]})" for i, j in pairs]
+    for _ in range(NEWTON if k > 1 else 0):
+        loss, *got = scored.select("s", "y", softmax(shape(at), "s", k).alias("p")).selectExpr(*sums).first()
+        if loss is None:
+            break
+        loss += sum(r * a * a / 2 for r, a in zip(ridge, at, strict=True))
+        if loss > best + 1e-9:
+            step = [s / 2 for s in step]
+            at = [a + s for a, s in zip(kept, step, strict=True)]
+            continue
+        settled = best - loss < 1e-6 * abs(loss)
+        best, kept = loss, list(at)
+        if settled:
+            break
+        slope = [g + r * a for g, r, a in zip(got[:m], ridge, at, strict=True)]
+        bend = [[0.0] * m for _ in range(m)]
+        for (i, j), v in zip(pairs, got[m:], strict=True):
+            bend[i][j] = bend[j][i] = v
+        for i, r in enumerate(ridge):
+            bend[i][i] += r
+        step = [-s for s in _solve(bend, slope)]
+        at = [a + s for a, s in zip(kept, step, strict=True)]
+    return shape(kept)
+
+
+def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str = "doc_id", text: str = "text", most: int = LABELLED) -> Classifier:
+    """Words that stand out by domain, their log odds, and calibrated weights of the domains' sums.
+
+    Fitted on `most` labelled documents at most, those of smallest hash of the id, so the ids that are broadcast are bounded.
+    Copies of a text count once a domain, and a word once a text. labelled has (id, domain). Texts become lists of words where
+    they are read. Weights are calibrated on sums that the words of other folds give, on all folds but the last, which the log loss is of. Without labels the posterior is even.
     """
-    model, prior = fit_classifier(docs, labelled, domains, id_col, text)
-    tokens = docs.select(row_key(id_col, text).alias("key"), F.explode(tokens_of(text)).alias("t")).where("t <> ''")
-    tokens = tokens.select("key", (F.col("t") == MARK).alias("end"), F.when(F.col("t") != MARK, bucket(F.col("t"))).alias("b"))
-    # BUCKETS rows at most
-    scored = tokens.join(F.broadcast(model), "b", "left")
-    sums = scored.groupBy("key").agg(
-        F.count_if("end").alias("times"), F.count_if(~F.col("end")).alias("n"), *[F.coalesce(F.sum(F.col("w")[i]), F.lit(0.0)).alias(f"s{i}") for i in range(len(domains))]
-    )
-    n = F.col("n") / F.col("times")
-    heat = F.greatest(n / WORDS_HEARD, F.lit(1.0))
-    logits = [F.log(F.lit(x)) + F.col(f"s{i}") / F.col("times") / heat for i, x in enumerate(prior)]
-    top = F.greatest(*logits) if len(logits) > 1 else logits[0]
-    odds = [F.exp(x - top) for x in logits]
-    norm = sum(odds[1:], odds[0])
-    return sums.select("key", "times", (n + 1).cast("long").alias("n_tokens"), F.array(*[x / norm for x in odds]).alias("p"))
+    k, none = len(domains), [[0.0] * (len(domains) + 1)] * (len(domains) - 1)
+    known = labelled.where(F.col("domain").isin(domains)).distinct().orderBy(F.xxhash64("id", F.lit(29)), "id", "domain").limit(most)
+    number = sum((F.when(F.col("domain") == d, i).otherwise(0) for i, d in enumerate(domains)), F.lit(0))
+    known = known.select(F.col("id").alias("kid"), number.cast("int").alias("y"))
+    # `most` rows at most
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("t")).join(F.broadcast(known), F.col("id") == F.col("kid"))
+    rows = rows.select(F.xxhash64("t", F.lit(31)).alias("h"), "y", "t", words_of("t").alias("words"))
+    rows = rows.select("h", "y", F.array_distinct(evidence("t", "words")).alias("seen")).groupBy("h", "y").agg(F.first("seen").alias("seen"))
+    rows = materialize(rows.withColumn("fold", F.pmod("h", F.lit(FOLDS)).cast("int")), "labelled")
+    have = [[0] * FOLDS for _ in range(k)]
+    for r in rows.groupBy("y", "fold").count().collect():
+        have[r["y"]][r["fold"]] = r["count"]
+    tokens = rows.select("y", "fold", F.explode("seen").alias("w")).where("w <> ''")
+    cells = [F.count_if((F.col("y") == d) & (F.col("fold") == f)).alias(f"n{d}_{f}") for d in range(k) for f in range(FOLDS)]
+    # a word of fewer documents than SIGNIFICANT cannot stand out
+    counts = materialize(tokens.groupBy("w").agg(*cells).where(F.expr(" + ".join(f"n{d}_{f}" for d in range(k) for f in range(FOLDS))) >= SIGNIFICANT), "words")
+    parts = [_chosen(counts, have, f) for f in range(FOLDS)]
+    of_fold = lambda column: F.coalesce(*[F.when(F.col("fold") == f, column(part)) for f, part in enumerate(parts)])
+    scored = rows.select("y", "fold", of_fold(lambda part: part.found("seen")).alias("found"))
+    scored = materialize(scored.select("y", "fold", of_fold(lambda part: part.scores("found", k)).alias("s")), "scores")
+    tried = _calibrated(scored.where(F.col("fold") != FOLDS - 1), k) if sum(map(sum, have)) else none
+    last = scored.where(F.col("fold") == FOLDS - 1)
+    share = [sum(have[d][:-1]) for d in range(k)]
+    prior = [math.log((n + 1) / (sum(share) + k)) for n in share]
+    surprise = lambda p: -F.log(F.greatest(F.element_at(p, F.col("y") + 1), F.lit(1e-300)))
+    loss, plain = last.agg(F.avg(surprise(softmax(tried, "s", k))), F.avg(-F.element_at(F.lit(prior), F.col("y") + 1))).first()
+    return Classifier(domains, _chosen(counts, have, None), tried, loss or 0.0, plain or 0.0)
+
+
+def with_membership(docs: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
+    """(row: struct of docs, n_tokens, p: posterior by domain). A projection: nothing is shuffled. Equal texts have equal p."""
+    k = len(model.domains)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("t"), words_of(text).alias("words"))
+    rows = rows.select("row", n_tokens_of("words").alias("n_tokens"), evidence("t", "words").alias("seen"))
+    rows = rows.select("row", "n_tokens", model.words.found("seen").alias("found"))
+    rows = rows.select("row", "n_tokens", model.words.scores("found", k).alias("s"))
+    return rows.select("row", "n_tokens", model.posterior("s").alias("p"))
 
 
 def _solve(a: list[list[float]], b: list[float]) -> list[float]:
-    """Gaussian elimination with pivoting, for a matrix with one row a domain."""
+    """Gaussian elimination with pivoting, for a matrix with a few rows a domain."""
     n = len(b)
     m = [[*row, y] for row, y in zip(a, b, strict=True)]
     for i in range(n):
@@ -113,46 +222,53 @@ def _solve(a: list[list[float]], b: list[float]) -> list[float]:
     return [m[i][n] / m[i][i] for i in range(n)]
 
 
-def fit_rates(rows: DataFrame, targets: list[float], steps: int = STEPS, tolerance: float = 1e-6, still: float = STILL) -> tuple[Column, list[float]]:
-    """(rate, reached): rate is a Column over rows (times, n_tokens, p) whose expected domain totals are nearest to targets.
+def _largest(g: list[list[float]]) -> float:
+    """No less than the largest eigenvalue of a matrix of nonnegative numbers, by row sums scaled with an almost eigenvector."""
+    v = [1.0] * len(g)
+    for _ in range(200):
+        w = [sum(x * y for x, y in zip(row, v, strict=True)) for row in g]
+        v = [max(x / max(*w, 1e-300), 1e-9) for x in w] if len(w) > 1 else [1.0]
+    return max(sum(x * y for x, y in zip(row, v, strict=True)) / u for row, u in zip(g, v, strict=True))
 
-    Minimizes the squared distance of A r from T over r >= 0, from r = 1, by projected gradient: A[k, i] = n_tokens * p[k] of row i, a
-    row that occurs `times` times counts as often, and the distance is measured by G^-1 with G = sum of n_tokens * p p' over all
-    rows, the same in every step. A step is r <- max(0, v - p' G^-1 (A v - T)), where v is r carried on by Nesterov's momentum, which
-    starts anew when it points uphill; in the norm weighed by tokens the step is 1/L, so steps do not overshoot.
 
-    A step needs a few numbers a domain from one distributed sum, A v following from A r. The latest steps are a fold over a table of (r, v)
-    that is written again after every WRITTEN of them, and the rate is a fold over all. Ends when every total is within `tolerance`
-    of the whole budget, or when the projected gradient, the root mean square of r - v by tokens, is `still` at most, which is the
-    minimum where no nonnegative rates reach the targets. RuntimeError if neither holds after `steps`.
+def fit_rates(rows: DataFrame, targets: list[float], steps: int = STEPS, tolerance: float = 1e-4, still: float = STILL) -> tuple[Column, list[float]]:
+    """(rate, reached): rate is a Column over rows (n_tokens, p) whose expected domain totals are nearest to targets.
+
+    Minimizes |A r - T|^2 over r >= 0, from r = 1, by projected gradient: A[k, i] = n_tokens * p[k] of row i. A step is
+    r <- max(0, v - p' (A v - T) / L): the gradient in the norm weighed by tokens, L the largest eigenvalue of the sum of
+    n_tokens * p p' over all rows, the same in every step, so no step overshoots. v is r carried on by Nesterov's momentum, which
+    starts anew when it points uphill. Rates depend on p alone, so rows of equal p are one row of the iteration.
+
+    A step needs a few numbers a domain from one distributed sum. The latest steps are a fold over a table of (r, v) that is
+    written again after every WRITTEN of them, and the rate is a fold over all. Ends when every total is within `tolerance` of
+    the whole budget, or when a step without momentum would move rates by `still` at most, the root mean square by tokens, which
+    is the minimum where no nonnegative rates reach the targets. RuntimeError if neither holds after `steps`. No rows: rate 1.
     """
     k = len(targets)
     p = lambda i: F.col("p")[i]
-    weight = F.col("times") * F.col("n_tokens")
+    weight = F.col("n_tokens")
     total = lambda x: F.coalesce(F.sum(x), F.lit(0.0))
-    found = list(rows.agg(*[total(weight * p(i)) for i in range(k)], *[total(weight * p(i) * p(j)) for i in range(k) for j in range(k)], total(weight)).first())
+    alike = materialize(rows.groupBy("p").agg(F.sum("n_tokens").cast("double").alias("n_tokens")), "memberships")
+    found = list(alike.agg(*[total(weight * p(i)) for i in range(k)], *[total(weight * p(i) * p(j)) for i in range(k) for j in range(k)], total(weight)).first())
     reached, gram, every = found[:k], found[k:-1], found[-1]
-    g = [[gram[i * k + j] + (1e-9 * (gram[i * k + i] + 1) if i == j else 0) for j in range(k)] for i in range(k)]
+    whole = max(1e-300, _largest([gram[i * k : i * k + k] for i in range(k)]))
     near = lambda: all(abs(x - t) <= tolerance * max(1.0, sum(targets)) for x, t in zip(reached, targets, strict=True))
 
-    def fold(by: list[list[float]], r: Column, v: Column) -> Column:
-        """[r, v, r - v of before, r - r of before] after the steps by; their numbers are one constant, so that all steps share compiled code."""
-
-        def step(at: Column, x: Column) -> Column:
-            new = F.greatest(F.lit(0.0), at[1] - sum((x[i] * p(i) for i in range(1, k)), x[0] * p(0)))
-            return F.array(new, new + x[k] * (new - at[0]), new - at[1], new - at[0])
-
-        return F.aggregate(F.array(*[F.array(*[F.lit(float(y)) for y in x]) for x in by]), F.array(r, v, F.lit(0.0), F.lit(0.0)), step)
+    def fold(by: list[list[float]], r: str, v: str) -> Column:
+        """[r, v, v of before, r of before] after the steps by; their numbers are one constant, so that all steps share compiled code."""
+        numbers = ", ".join(f"array({', '.join(f'{y!r}D' for y in x)})" for x in by)
+        new = "greatest(0D, at[1] - (" + " + ".join(f"x[{i}] * p[{i}]" for i in range(k)) + "))"
+        return F.expr(f"aggregate(array({numbers}), array({r}, {v}, 0D, 0D), (at, x) -> array({new}, {new} + x[{k}] * ({new} - at[0]), at[1], at[0]))")
 
     taken: list[list[float]] = []
     lately: list[list[float]] = []
-    state, stored, ahead, pace = rows.select("times", "n_tokens", "p", F.lit(1.0).alias("r"), F.lit(1.0).alias("v")), None, reached, 1.0
-    while not near():
+    state, stored, ahead, pace = alike.select("n_tokens", "p", F.lit(1.0).alias("r"), F.lit(1.0).alias("v")), alike, reached, 1.0
+    while every and not near():
         if len(taken) == steps:
             raise RuntimeError(f"mixing rates did not settle in {steps} steps: totals {reached} for targets {targets}")
-        pull = _solve(g, [x - t for x, t in zip(ahead, targets, strict=True)])
-        tried = state.select("times", "n_tokens", "p", fold([*lately, [*pull, 0.0]], F.col("r"), F.col("v")).alias("at"))
-        r, moved, on = (F.col("at")[i] for i in (0, 2, 3))
+        pull = [(x - t) / whole for x, t in zip(ahead, targets, strict=True)]
+        tried = state.select("n_tokens", "p", fold([*lately, [*pull, 0.0]], "r", "v").alias("at"))
+        r, moved, on = F.col("at")[0], F.col("at")[0] - F.col("at")[2], F.col("at")[0] - F.col("at")[3]
         *now, squares, uphill = tried.agg(*[total(r * weight * p(i)) for i in range(k)], total(weight * moved * moved), total(-weight * moved * on)).first()
         pace = 1.0 if uphill > 0 else pace
         faster = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
@@ -163,14 +279,12 @@ def fit_rates(rows: DataFrame, targets: list[float], steps: int = STEPS, toleran
         if squares <= still * still * every:
             break
         if len(lately) == WRITTEN:
-            at = fold(lately, F.col("r"), F.col("v"))
-            state = materialize(state.select("times", "n_tokens", "p", at.alias("at")).select("times", "n_tokens", "p", F.col("at")[0].alias("r"), F.col("at")[1].alias("v")), "steps")
-            if stored is not None:
-                drop(stored)
+            at = fold(lately, "r", "v")
+            state = materialize(state.select("n_tokens", "p", at.alias("at")).select("n_tokens", "p", F.col("at")[0].alias("r"), F.col("at")[1].alias("v")), "steps")
+            drop(stored)
             stored, lately = state, []
-    if stored is not None:
-        drop(stored)
-    return (fold(taken, F.lit(1.0), F.lit(1.0))[0] if taken else F.lit(1.0)), reached
+    drop(stored)
+    return (fold(taken, "1D", "1D")[0] if taken else F.lit(1.0)), reached
 
 
 def domain_labels(labels: DataFrame) -> DataFrame:
@@ -179,34 +293,69 @@ def domain_labels(labels: DataFrame) -> DataFrame:
     return labels.select(F.col("doc_id").alias("id"), domain.alias("domain")).where("id is not null and domain is not null")
 
 
-def rated(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, times, n_tokens, p, rate, copies) for each distinct row of docs. p follows the names of targets, sorted.
+@dataclass
+class Mix:
+    """What rates need: the classifier, the rate as a Column over (n_tokens, p), and the shares of the budget reached and wanted."""
+
+    model: Classifier
+    rate: Column
+    reached: dict[str, float]
+    wanted: dict[str, float]
+
+    @property
+    def residual(self) -> float:
+        """Distance of the totals reached from those wanted, as a share of the budget."""
+        return math.sqrt(sum((self.reached[d] - self.wanted[d]) ** 2 for d in self.wanted))
+
+
+def _settled(members: DataFrame, model: Classifier, targets: dict[str, float]) -> Mix:
+    domains, weight = sorted(targets), sum(targets.values())
+    budget = members.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    rate, reached = fit_rates(members, [budget * targets[d] / weight for d in domains])
+    shares = {d: x / max(1, budget) for d, x in zip(domains, reached, strict=True)}
+    mix = Mix(model, rate, shares, {d: targets[d] / weight for d in domains})
+    log.info("log loss %.4f (shares alone %.4f); shares reached %s, wanted %s", model.loss, model.prior_loss, mix.reached, mix.wanted)
+    return mix
+
 
-    The budget is all tokens of docs. copies is rate rounded down or up by a hash of the row, so its expectation is rate.
-    Weights need not sum to 1. A domain without labels has the smoothed prior's mass only. Null ids and texts are fine. An
-    empty table gives no rows.
+def copies_of(rate: str, *row: str) -> Column:
+    """rate rounded down or up by a hash of the row, so that its expectation is rate."""
+    chance = F.pmod(F.xxhash64(*row, F.lit(17)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    return F.floor(F.col(rate) + chance).cast("int")
+
+
+def rated(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, Mix]:
+    """((id, n_tokens, p, rate, copies) for each row of docs, the Mix). p follows the names of targets, sorted.
+
+    The budget is all tokens of docs; a row has its words and an end. Weights need not sum to 1. Where no rates reach the
+    targets the totals are those nearest by least squares, and the Mix has the residual. Null ids and texts are fine: a text
+    without words has the posterior of its shape. Repeated rows have the same rate and copies. An empty table gives no rows.
     """
-    domains = sorted(targets)
-    rows = materialize(memberships(docs, labelled, domains, id_col, text), "memberships")
-    budget = rows.agg(F.coalesce(F.sum(F.col("times") * F.col("n_tokens")), F.lit(0))).first()[0]
-    weight = sum(targets.values())
-    rate, reached = fit_rates(rows, [budget * targets[d] / weight for d in domains])
-    log.info("shares of the budget, reached and wanted: %s", {d: (x / max(1, budget), targets[d] / weight) for d, x in zip(domains, reached, strict=True)})
-    chance = F.pmod(F.xxhash64("key", F.lit(17)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    return materialize(rows.withColumn("rate", rate), "rates").withColumn("copies", F.floor(F.col("rate") + chance).cast("int"))
+    model = fit_classifier(docs, labelled, sorted(targets), id_col, text)
+    rows = with_membership(docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text).alias("h"), F.col(text).alias("t")), model, "t")
+    rows = materialize(rows.select("row.id", "row.h", "n_tokens", "p"), "posteriors")
+    mix = _settled(rows.select("n_tokens", "p"), model, targets)
+    return rows.withColumn("rate", mix.rate).withColumn("copies", copies_of("rate", "h")).drop("h"), mix
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, each `copies` times (none at 0), with the columns of docs."""
-    rates = rated(docs, labelled, targets, id_col, text).where("copies > 0").select("key", "copies")
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    found = docs.select(row.alias("row"), row_key(id_col, text).alias("key")).join(rates, "key")
-    return found.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
+    """The rows of docs, each `copies` times (none at 0), with the columns of docs.
+
+    Posteriors are computed once for the rates and again where rows are copied: texts are read twice and never shuffled.
+    """
+    model = fit_classifier(docs, labelled, sorted(targets), id_col, text)
+    only = docs.select(F.col(text).alias("t"))
+    members = materialize(with_membership(only, model, "t").groupBy("p").agg(F.sum("n_tokens").alias("n_tokens")), "posteriors")
+    mix = _settled(members, model, targets)
+    rows = with_membership(docs, model, text).withColumn("rate", mix.rate)
+    rows = rows.withColumn("h", F.xxhash64(F.col(f"row.`{id_col}`"), F.col(f"row.`{text}`")))
+    return rows.select("row", F.explode(F.array_repeat(F.lit(0), copies_of("rate", "h")))).select("row.*")
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    labelled = domain_labels(read_table(spark, sf_dir, "labels"))
-    rates = rated(docs, labelled, TARGETS)
-    found = docs.select("doc_id", row_key("doc_id", "text").alias("key")).join(rates, "key")
-    return found.select("doc_id", "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(sorted(TARGETS))], "rate", "copies")
+    rates, mix = rated(docs, domain_labels(read_table(spark, sf_dir, "labels")), TARGETS)
+    return rates.select(
+        F.col("id").alias("doc_id"), "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(sorted(TARGETS))], "rate", "copies",
+        F.lit(mix.residual).alias("residual"),
+    )
