@@ -41,7 +41,7 @@ STAGES = [
     ("sharding", sharding),
 ]
 
-#: The stages hash words with functions that SQL lacks; no test runs run() as a whole.
+#: The stages hash words with functions that SQL lacks; tests/llm/test_queries.py holds each stage and run() against the queries, and these against plain Python.
 ORACLE_SQL = None
 
 
