@@ -231,7 +231,7 @@ def _largest(g: list[list[float]]) -> float:
     return max(sum(x * y for x, y in zip(row, v, strict=True)) / u for row, u in zip(g, v, strict=True))
 
 
-def fit_rates(rows: DataFrame, targets: list[float], steps: int = STEPS, tolerance: float = 1e-4, still: float = STILL) -> tuple[Column, list[float]]:
+def fit_rates(rows: DataFrame, targets: list[float], steps: int = STEPS, tolerance: float = 5e-5, still: float = STILL) -> tuple[Column, list[float]]:
     """(rate, reached): rate is a Column over rows (n_tokens, p) whose expected domain totals are nearest to targets.
 
     Minimizes |A r - T|^2 over r >= 0, from r = 1, by projected gradient: A[k, i] = n_tokens * p[k] of row i. A step is
