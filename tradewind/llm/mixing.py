@@ -31,7 +31,7 @@ NEWTON, RIDGE = 12, 1.0
 #: Steps of the projected gradient after which it is an error that it has not settled; WRITTEN of them lie between two written tables.
 STEPS, WRITTEN = 2_000, 8
 #: The gradient counts as zero when a step of full length moves rates by less, as a root mean square by tokens.
-STILL = 1e-5
+STILL = 1e-6
 #: The domains of the query and the pipeline, by labels: and the share of tokens that each is to have.
 TARGETS = {"good": 0.92, "poor": 0.05, "toxic": 0.03}
 SYMBOLS = "#*$%&|<>"
