@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -25,12 +26,16 @@ def fresh(df: DataFrame, name: str) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path under spark.checkpoint.dir, removed when the driver's JVM ends.
 
-    Only where the setting is missing (local tests) is a temporary folder of this machine used.
+    Only where the setting is missing and Spark runs in this one process (tests) is a temporary folder of this machine used.
     """
     app = spark.sparkContext.applicationId
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = _own.setdefault(app, tempfile.mkdtemp(prefix="tradewind-"))
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="tradewind-")
+        base = _own[app]
     path = f"{base.rstrip('/')}/{app}/{name}-{uuid.uuid4().hex[:12]}"
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
