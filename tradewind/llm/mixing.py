@@ -29,7 +29,9 @@ FOLDS = 5
 #: Newton steps of the calibration, and the penalty on its squared weights.
 NEWTON, RIDGE = 12, 1.0
 #: Steps of the projected gradient after which it is an error that it has not settled; WRITTEN of them lie between two written tables.
-STEPS, WRITTEN = 2_000, 8
+STEPS, WRITTEN = 300, 8
+#: Steps that are tried in one pass: how far, and the share of its trace that is added to the diagonal of their matrix.
+LENGTHS, DAMPS = (1.0, 3.0), tuple(4.0**-i for i in range(1, 12))
 #: The gradient counts as zero when a step of full length moves rates by less, as a root mean square by tokens.
 STILL = 1e-6
 #: The domains of the query and the pipeline, by labels: and the share of tokens that each is to have.
@@ -235,56 +237,70 @@ def fit_rates(rows: DataFrame, targets: list[float], steps: int = STEPS, toleran
     """(rate, reached): rate is a Column over rows (n_tokens, p) whose expected domain totals are nearest to targets.
 
     Minimizes |A r - T|^2 over r >= 0, from r = 1, by projected gradient: A[k, i] = n_tokens * p[k] of row i. A step is
-    r <- max(0, v - p' (A v - T) / L): the gradient in the norm weighed by tokens, L the largest eigenvalue of the sum of
-    n_tokens * p p' over all rows, the same in every step, so no step overshoots. v is r carried on by Nesterov's momentum, which
-    starts anew when it points uphill. Rates depend on p alone, so rows of equal p are one row of the iteration.
-
-    A step needs a few numbers a domain from one distributed sum. The latest steps are a fold over a table of (r, v) that is
-    written again after every WRITTEN of them, and the rate is a fold over all. Ends when every total is within `tolerance` of
-    the whole budget, or when a step without momentum would move rates by `still` at most, the root mean square by tokens, which
-    is the minimum where no nonnegative rates reach the targets. RuntimeError if neither holds after `steps`. No rows: rate 1.
+    r <- max(0, r - p' x), and rows at zero that the gradient p' e (e = A r - T) holds there stay. x is e in the
+    metric of the other rows, e times the inverse of their sum of n_tokens * p p', which nearly meets the targets at once where no
+    row is cut off at zero; of its DAMPS and LENGTHS, the pair that leaves the least |e|; or e / L, a step in the plain metric, if that
+    leaves less. L is the largest eigenvalue of that sum over all rows, so a plain step never overshoots, and |e| falls in every
+    step. Rates depend on p alone, so rows of equal p are one row of the iteration.
+
+    A step needs two distributed sums of a few numbers. The latest steps are a fold over a table of r that is written again
+    after every WRITTEN of them, and the rate is a fold over all. Ends when every total is within `tolerance` of the whole
+    budget; or when a plain step would move rates by `still` at most, the root mean square by tokens, or no step makes |e|
+    less, which is the minimum where no nonnegative rates reach the targets. RuntimeError if none holds after `steps`. No rows: rate 1.
     """
     k = len(targets)
     p = lambda i: F.col("p")[i]
     weight = F.col("n_tokens")
     total = lambda x: F.coalesce(F.sum(x), F.lit(0.0))
     alike = materialize(rows.groupBy("p").agg(F.sum("n_tokens").cast("double").alias("n_tokens")), "memberships")
-    found = list(alike.agg(*[total(weight * p(i)) for i in range(k)], *[total(weight * p(i) * p(j)) for i in range(k) for j in range(k)], total(weight)).first())
+    products = lambda w: [total(w * p(i) * p(j)) for i in range(k) for j in range(k)]
+    found = list(alike.agg(*[total(weight * p(i)) for i in range(k)], *products(weight), total(weight)).first())
     reached, gram, every = found[:k], found[k:-1], found[-1]
-    whole = max(1e-300, _largest([gram[i * k : i * k + k] for i in range(k)]))
+    square = lambda g: [list(g[i * k : i * k + k]) for i in range(k)]
+    whole = max(1e-300, _largest(square(gram)))
     near = lambda: all(abs(x - t) <= tolerance * max(1.0, sum(targets)) for x, t in zip(reached, targets, strict=True))
+    off = lambda at: sum((x - t) ** 2 for x, t in zip(at, targets, strict=True))
+    numbers = lambda by: "array(" + ", ".join(f"array({', '.join(f'{y!r}D' for y in x)})" for x in by) + ")"
+    dot = lambda x, first: " + ".join(f"{x}[{first + i}] * p[{i}]" for i in range(k))
+    # of x = [x, e]; the numbers of steps are one constant, so that all steps share compiled code
+    moved = lambda r, x: f"if({r} <= 0D and {dot(x, k)} > 0D, 0D, greatest(0D, {r} - ({dot(x, 0)})))"
 
-    def fold(by: list[list[float]], r: str, v: str) -> Column:
-        """[r, v, v of before, r of before] after the steps by; their numbers are one constant, so that all steps share compiled code."""
-        numbers = ", ".join(f"array({', '.join(f'{y!r}D' for y in x)})" for x in by)
-        new = "greatest(0D, at[1] - (" + " + ".join(f"x[{i}] * p[{i}]" for i in range(k)) + "))"
-        return F.expr(f"aggregate(array({numbers}), array({r}, {v}, 0D, 0D), (at, x) -> array({new}, {new} + x[{k}] * ({new} - at[0]), at[1], at[0]))")
+    def fold(by: list[list[float]], r: str) -> Column:
+        return F.expr(f"aggregate({numbers(by)}, {r}, (at, x) -> {moved('at', 'x')})") if by else F.expr(r)
 
     taken: list[list[float]] = []
     lately: list[list[float]] = []
-    state, stored, ahead, pace = alike.select("n_tokens", "p", F.lit(1.0).alias("r"), F.lit(1.0).alias("v")), alike, reached, 1.0
+    state, stored = alike.withColumn("r", F.lit(1.0)), alike
     while every and not near():
         if len(taken) == steps:
             raise RuntimeError(f"mixing rates did not settle in {steps} steps: totals {reached} for targets {targets}")
-        pull = [(x - t) / whole for x, t in zip(ahead, targets, strict=True)]
-        tried = state.select("n_tokens", "p", fold([*lately, [*pull, 0.0]], "r", "v").alias("at"))
-        r, moved, on = F.col("at")[0], F.col("at")[0] - F.col("at")[2], F.col("at")[0] - F.col("at")[3]
-        *now, squares, uphill = tried.agg(*[total(r * weight * p(i)) for i in range(k)], total(weight * moved * moved), total(-weight * moved * on)).first()
-        pace = 1.0 if uphill > 0 else pace
-        faster = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
-        beta, pace = (pace - 1) / faster, faster
-        ahead, reached = [x + beta * (x - y) for x, y in zip(now, reached, strict=True)], now
-        taken.append([*pull, beta])
-        lately.append(taken[-1])
+        e = [x - t for x, t in zip(reached, targets, strict=True)]
+        plain = [x / whole for x in e]
+        tried = state.select("n_tokens", "p", fold(lately, "r").alias("r"))
+        tried = tried.withColumn("move", F.col("r") - F.expr(f"transform({numbers([plain + e])}, x -> greatest(0D, r - ({dot('x', 0)})))")[0])
+        free = F.when((F.col("r") > 0) | (F.col("move") < 0), weight).otherwise(0.0)
+        squares, *gram = tried.agg(total(weight * F.col("move") * F.col("move")), *products(free)).first()
         if squares <= still * still * every:
             break
+        g = square(gram)
+        trace = sum(g[i][i] for i in range(k))
+        scaled = [_solve([[y + d * trace * (i == j) for j, y in enumerate(row)] for i, row in enumerate(g)], e) for d in DAMPS if trace]
+        choices = [[length * y for y in x] + e for x in scaled for length in LENGTHS] + [plain + e]
+        ends = tried.select("n_tokens", "p", F.expr(f"transform({numbers(choices)}, x -> {moved('r', 'x')})").alias("c"))
+        sums = ends.agg(*[total(weight * p(i) * F.col("c")[j]) for j in range(len(choices)) for i in range(k)]).first()
+        totals = [list(sums[j * k : j * k + k]) for j in range(len(choices))]
+        best = min(range(len(choices)), key=lambda j: off(totals[j]))
+        if not off(totals[best]) < off(reached):
+            break
+        reached = totals[best]
+        taken.append(choices[best])
+        lately.append(choices[best])
         if len(lately) == WRITTEN:
-            at = fold(lately, "r", "v")
-            state = materialize(state.select("n_tokens", "p", at.alias("at")).select("n_tokens", "p", F.col("at")[0].alias("r"), F.col("at")[1].alias("v")), "steps")
+            state = materialize(state.select("n_tokens", "p", fold(lately, "r").alias("r")), "steps")
             drop(stored)
             stored, lately = state, []
     drop(stored)
-    return (fold(taken, "1D", "1D")[0] if taken else F.lit(1.0)), reached
+    return fold(taken, "1D"), reached
 
 
 def domain_labels(labels: DataFrame) -> DataFrame:
