@@ -71,3 +71,22 @@ def test_upsert(spark):
     new = spark.createDataFrame([(2, "B", 9), (4, "d", None)], "k long, name string, n long")
     got = {(r["k"], r["name"], r["n"]) for r in merge.upsert(old, new, "k", {"n": F.lit(0).cast("long")}, F.col("k") == 3).collect()}
     assert got == {(1, "a", 0), (2, "B", 9), (4, "d", None), (None, "n", 0)}
+
+
+def test_posts(spark):
+    from tradewind.operators.posting import select_posts
+
+    events = spark.createDataFrame([("new", 1), ("left", 9), ("still", 8), ("warm", 7), ("cold", 9)], "key string, score long")
+    state = spark.createDataFrame([("left", 5, -1), ("still", 5, 10), ("warm", 4, 95), ("cold", 4, 93)], "key string, run long, posted long")
+    keys = lambda *a, **k: [r["key"] for r in select_posts(events, state, *a, **k).collect()]
+    assert keys(5, 100, 9) == ["cold", "left", "new"] and keys(5, 100, 2) == ["cold", "left"]
+    assert keys(0, 100, 9) == [] and keys(5, 100, 9, last_drop=100) == []
+
+
+def test_grid_of_boxes(spark):
+    from tradewind.sources.feeds import parse_boxes
+
+    box = '<div class="card product-box b"><a href="/p?a=1&amp;b=2" class="product-name" title="Box &amp;  Co">x</a><span class="product-price"> 19,99 </span>{}</div>'
+    bad = '<div class="card product-box"><a class="product-name" title="No link">x</a><span class="product-price">5.00</span></div>'
+    pages = spark.createDataFrame([("u", box.format("<button class=btn-buy>") + bad + box.format("btn-buy stock-notify")), ("v", ""), ("w", None)], "url string, html string")
+    assert [tuple(r) for r in parse_boxes(pages).orderBy("in_stock").collect()] == [("u", "Box & Co", "/p?a=1&b=2", 1999, False), ("u", "Box & Co", "/p?a=1&b=2", 1999, True)]

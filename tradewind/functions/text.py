@@ -39,6 +39,11 @@ def csv_safe(c: Column) -> Column:
     return F.when(c.rlike("^[=+@\\t\\r-]"), F.concat(F.lit("'"), c)).otherwise(c)
 
 
+def csv_quoted(c: Column) -> Column:
+    """A CSV cell: in quotes, its own doubled, where it has a comma, a quote or a line end; null is an empty cell."""
+    return F.coalesce(F.when(c.rlike('[",\\n\\r]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c), F.lit(""))
+
+
 def money_cents(c: Column, low: int = 1, high: int = 100_000_000) -> Column:
     """Cents of a text such as `$1,234.50` or `1.234,50 EUR`; null for what is no amount or out of bounds."""
     raw = F.regexp_extract(c, "[0-9][0-9.,]*", 0)

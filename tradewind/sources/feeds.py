@@ -25,8 +25,7 @@ def read_json_feed(spark: SparkSession, path: str) -> DataFrame:
 
 def cards_of(html: Column, split: str) -> Column:
     """The pieces of a page that start where `split` matches."""
-    parts = F.split(html, f"(?={split})")
-    return F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+    return F.filter(F.split(html, f"(?={split})"), lambda part: part.rlike(f"^(?:{split})"))
 
 
 def parse_grid(pages: DataFrame, split: str = r'<article class="card') -> DataFrame:
@@ -40,6 +39,22 @@ def parse_grid(pages: DataFrame, split: str = r'<article class="card') -> DataFr
     return found.withColumn("title", F.trim(decode_entities(F.col("raw")))).drop("raw")
 
 
+def parse_boxes(pages: DataFrame, split: str = r'<div class="card product-box\b') -> DataFrame:
+    """(url, html) -> (url, title, link, price, in_stock), for themes that put title and link into the name's own tag.
+
+    A box without a name, a link or a price is passed over. It is in stock if it can be bought and does not offer to notify.
+    """
+    box = pages.select("url", F.explode(cards_of(F.col("html"), split)).alias("c"))
+    box = box.withColumn("name", F.regexp_extract("c", r"<a\s([^>]*\bproduct-name\b[^>]*)>", 1))
+    part = lambda of, pattern: F.nullif(F.regexp_extract(of, pattern, 1), F.lit(""))
+    found = box.select(
+        "url", part("name", r'\btitle="([^"]*)"').alias("raw"), decode_entities(part("name", r'\bhref="([^"]+)"')).alias("link"),
+        money_cents(part("c", r'class="product-price[^>]*>\s*([^<]+)')).alias("price"), (F.col("c").contains("btn-buy") & ~F.col("c").contains("stock-notify")).alias("in_stock"),
+    ).where("raw is not null and link is not null and price is not null")
+    title = F.trim(F.regexp_replace(decode_entities(F.col("raw")), r"\s+", " "))
+    return found.select("url", title.alias("title"), "link", "price", "in_stock")
+
+
 def link_sources(pages: DataFrame) -> DataFrame:
     """Addresses in <loc> elements of site maps."""
     return pages.select("url", F.explode(F.regexp_extract_all("html", F.lit(r"<loc>\s*([^<\s]+)\s*</loc>"), F.lit(1))).alias("loc"))
