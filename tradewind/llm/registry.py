@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tradewind.llm import brown, decontaminate, host_rules, langid, mixing, pii, reshard, simhash, tokens, toxicity
+from tradewind.llm import brown, decontaminate, host_rules, langid, merkle, mixing, neighbours, pii, reshard, simhash, tokens, toxicity, variants
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_reshard": reshard.op8_reshard,
         "op9_pii": pii.op9_pii,
         "op10_brown": brown.op10_brown,
+        "op11_variants": variants.op11_variants,
+        "op12_merkle": merkle.op12_merkle,
+        "op13_quality": neighbours.op13_quality,
     }
 
 
