@@ -74,13 +74,14 @@ def test_upsert(spark):
 
 
 def test_posts(spark):
-    from tradewind.operators.posting import select_posts
+    from tradewind.operators.posting import due_posts, with_standing
 
     events = spark.createDataFrame([("new", 1), ("left", 9), ("still", 8), ("warm", 7), ("cold", 9)], "key string, score long")
-    state = spark.createDataFrame([("left", 5, -1), ("still", 5, 10), ("warm", 4, 95), ("cold", 4, 93)], "key string, run long, posted long")
-    keys = lambda *a, **k: [r["key"] for r in select_posts(events, state, *a, **k).collect()]
-    assert keys(5, 100, 9) == ["cold", "left", "new"] and keys(5, 100, 2) == ["cold", "left"]
-    assert keys(0, 100, 9) == [] and keys(5, 100, 9, last_drop=100) == []
+    ledger = spark.createDataFrame([("left", 4, None), ("still", 4, 10), ("warm", 3, 95), ("cold", 3, 93)], "key string, seen_run int, posted_day int")
+    keys = lambda *a: [r["key"] for r in due_posts(events, ledger, *a).collect()]
+    assert keys(5, 100, 9) == ["cold", "left", "new"] and keys(5, 100, 2) == ["cold", "left"] and keys(1, 100, 9) == []
+    standing = {r["key"]: r["standing"] for r in with_standing(events, ledger, 5, 100).collect()}
+    assert standing == {"new": "new", "left": "unposted", "still": "going on", "warm": "resting", "cold": "returned"}
 
 
 def test_grid_of_boxes(spark):

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tradewind.operators.phrases import longest_phrase
+
 
 @dataclass(frozen=True)
 class Gate:
@@ -46,15 +48,14 @@ def refusal(title: Column, gates: tuple[Gate, ...] = GATES) -> Column:
 
 
 def detect_sets(titles: DataFrame, sets: DataFrame, title: str = "title", key: str = "id") -> DataFrame:
-    """(key, set_code, n_longest): the longest set name that stands in the title as words of its own; names of equal length leave a tie.
+    """(key, set_code, n_longest): the longest set name that stands in the title as whole words; names of equal length leave a tie.
 
-    sets has (set_code, set_name), a dimension of bounded size.
+    sets has (set_code, set_name) and may have `generic`: such a name counts only where no other stands. Names and titles meet in
+    an equi-join of word sequences, however many sets there are.
     """
-    pattern = F.concat(F.lit("(?<![a-z0-9#])\\Q"), F.lower("set_name"), F.lit("\\E(?![a-z0-9])"))
-    hits = titles.join(F.broadcast(sets), F.expr("contains(lower({0}), lower(set_name))".format(title)))
-    hits = hits.where(F.regexp_like(F.lower(F.col(title)), pattern)).withColumn("wide", F.length("set_name"))
-    w = Window.partitionBy(key)
-    return hits.withColumn("most", F.max("wide").over(w)).where("wide = most").groupBy(key).agg(F.min("set_code").alias("set_code"), F.count("*").alias("n_longest"))
+    generic = F.col("generic") if "generic" in sets.columns else F.lit(False)
+    named = sets.select(F.col("set_code").alias("phrase_id"), F.col("set_name").alias("phrase"), generic.alias("generic"))
+    return longest_phrase(titles, named, title, key).withColumnRenamed("phrase_id", "set_code")
 
 
 def signature(title: Column) -> Column:

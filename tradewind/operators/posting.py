@@ -1,22 +1,48 @@
-"""Which events of a run are posted, given what earlier runs saw."""
+"""Posting what has become true: how each event stands against a ledger of earlier runs, what is posted, and the ledger after it."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-COOLDOWN = 7
+#: An event rests this many days after it was posted; it is forgotten when it has rested and was not seen in KEPT_RUNS runs.
+REST_DAYS, KEPT_RUNS = 7, 60
 
 
-def select_posts(events: DataFrame, state: DataFrame, run: int, today: int, most: int, last_drop: int | None = None, cooldown: int = COOLDOWN) -> DataFrame:
-    """At most `most` of events (key, score, ..), those of highest score and then smallest key.
+def with_standing(events: DataFrame, ledger: DataFrame, run: int, today: int, rest_days: int = REST_DAYS) -> DataFrame:
+    """events (key, ..) plus `standing` in run number `run`, on the day of number `today`.
 
-    state has one row (key, run, posted) for each event seen before; a negative day `posted` means never posted. An event is due if
-    it was never posted, or if it was not seen in the last run and `cooldown` days have passed. The first run posts nothing, nor
-    does a second run of a day. Days are numbers. One join; the top rows are cut in each task before they meet.
+    ledger has (key, seen_run, posted_day), posted_day null for what was seen and never posted. `new`: not in the ledger; `unposted`:
+    seen before, but no run had room for it; `going on`: true in the run before as well; `resting`: it had ended, and was posted less
+    than rest_days ago; `returned`: it had ended, and has rested.
     """
-    if run == 0 or last_drop == today:
+    known = ledger.select("key", F.col("seen_run").alias("__run"), F.col("posted_day").alias("__day"))
+    standing = (
+        F.when(F.col("__run").isNull(), "new")
+        .when(F.col("__day").isNull(), "unposted")
+        .when(F.col("__run") >= run - 1, "going on")
+        .when(F.lit(today) - F.col("__day") < rest_days, "resting")
+        .otherwise("returned")
+    )
+    return events.join(known, "key", "left").withColumn("standing", standing).drop("__run", "__day")
+
+
+def due_posts(events: DataFrame, ledger: DataFrame, run: int, today: int, room: int, rest_days: int = REST_DAYS) -> DataFrame:
+    """The `room` events of highest score (ties: smallest key) that are new, unposted or returned. Run 1 only fills the ledger."""
+    if run <= 1:
         return events.limit(0)
-    seen = state.select("key", F.col("run").alias("__run"), F.col("posted").alias("__posted"))
-    due: Column = F.col("__run").isNull() | (F.col("__posted") < 0) | ((F.col("__run") < run) & (today - F.col("__posted") >= cooldown))
-    return events.join(seen, "key", "left").where(due).orderBy(F.desc("score"), "key").limit(most).select(events.columns)
+    due: Column = F.col("standing").isin("new", "unposted", "returned")
+    return with_standing(events, ledger, run, today, rest_days).where(due).orderBy(F.desc("score"), "key").limit(room).select(events.columns)
+
+
+def next_ledger(ledger: DataFrame, events: DataFrame, posted: DataFrame, run: int, today: int, rest_days: int = REST_DAYS, kept_runs: int = KEPT_RUNS) -> DataFrame:
+    """The ledger after a run: what is true now is seen in it, what was posted carries today, and what both expiries pass is gone.
+
+    In run 1 all that is true counts as posted. One full join by key and one left join; keys of events are distinct.
+    """
+    now = events.select("key", F.lit(run).alias("__now")).join(posted.select("key", F.lit(today).alias("__today")), "key", "left")
+    rows = ledger.join(now, "key", "full")
+    day = F.coalesce("__today", "posted_day", F.when(F.col("__now").isNotNull() & F.lit(run <= 1), today))
+    seen = F.coalesce("__now", "seen_run")
+    fresh = (F.lit(run) - seen < kept_runs) | F.coalesce(F.lit(today) - F.col("posted_day") < rest_days, F.lit(False))
+    return rows.where(F.col("__now").isNotNull() | fresh).select("key", seen.cast("int").alias("seen_run"), day.cast("int").alias("posted_day"))

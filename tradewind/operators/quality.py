@@ -57,6 +57,23 @@ def coverage_guard(new: DataFrame, old: DataFrame, by: str, least_percent: int =
     return new.join(bad, by, "left_anti").select(new.columns).unionByName(old.join(bad, by, "left_semi").select(new.columns))
 
 
+def guarded_read(new: DataFrame, old: DataFrame, waits: DataFrame | None, by: str, never: Column, least_percent: int = 50, least_rows: int = 1) -> tuple[DataFrame, DataFrame]:
+    """What is stored after a run, and (by, waits): the partitions whose read was short and is not believed yet.
+
+    A partition that had least_rows or more is short with less than least_percent of them. It keeps its old rows and waits; if the run
+    before found it short as well, the new read is taken, unless `never` holds (a column of `by`). waits is what the run before
+    returned, None for none. Partitions without old rows are taken as they are.
+    """
+    sizes = old.groupBy(by).agg(F.count("*").alias("had")).join(new.groupBy(by).agg(F.count("*").alias("n")), by, "full")
+    if waits is not None:
+        sizes = sizes.join(waits.select(by, F.col("waits").alias("waited")), by, "left")
+    had, n = F.coalesce("had", F.lit(0)), F.coalesce("n", F.lit(0))
+    again = F.coalesce("waited", F.lit(False)) & ~never if waits is not None else F.lit(False)
+    state = sizes.select(by, ((had >= least_rows) & (n * 100 < had * least_percent) & ~again).alias("waits"))
+    kept = state.where("waits").select(by)
+    return new.join(kept, by, "left_anti").select(new.columns).unionByName(old.join(kept, by, "left_semi").select(new.columns)), state
+
+
 def cleaned(rows: DataFrame, by: list[str]) -> DataFrame:
     """The passes in order: suspect stores, placeholders, low outliers, high outliers. Each sees what the last one left."""
     rows = demote(rows, suspect_stores(rows, by))

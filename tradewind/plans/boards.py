@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tradewind.functions import calc
-from tradewind.operators import demand, ranking
+from tradewind.operators import demand, ranking, ranks
 from tradewind.plans.registry import query
 from tradewind.plans.series import KEY, MOVES, moves
 
@@ -387,17 +387,8 @@ def hot_keys(v):
 @query("""t AS (SELECT id, msrp, slug, ntile(3) OVER (ORDER BY msrp, id) AS third FROM product)
 SELECT id, third, place FROM (SELECT id, third, row_number() OVER (PARTITION BY third ORDER BY md5(slug), id) AS place FROM t) WHERE place <= 10""")
 def stratified_sample(v):
-    """Ten of each third by price, the same ones each time. Thirds are cut by exact ranks of two quantiles, not in one window."""
-    n = v.product.count()
-    # bounds of ntile: the first n % 3 thirds have one row more
-    sizes = [n // 3 + (i < n % 3) for i in range(3)]
-    ranked = v.product.select("id", "msrp", "slug").orderBy("msrp", "id")
-    cuts = [ranked.offset(sum(sizes[: i + 1])).limit(1).select("msrp", "id").first() for i in range(2)]
-    key = F.struct("msrp", "id")
-    third = F.lit(1)
-    for c in cuts:
-        third = third + (F.when(key >= F.struct(F.lit(c["msrp"]).alias("msrp"), F.lit(c["id"]).alias("id")), 1).otherwise(0) if c else 0)
-    rows = v.product.select("id", "slug", third.alias("third"))
+    """Ten of each third by price, the same ones each time. Thirds are cut by exact ranks over all partitions."""
+    rows = ranks.with_tile(v.product.select("id", "msrp", "slug"), [F.asc("msrp"), F.asc("id")], 3, "third")
     return ranking.first_per(rows, ["third"], [F.md5("slug"), F.asc("id")], 10, "place").select("id", "third", "place")
 
 

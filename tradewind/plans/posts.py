@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tradewind.functions import text as tx
-from tradewind.operators.posting import select_posts
+from tradewind.operators.posting import due_posts
 from tradewind.plans.registry import query
 
 RUN, TODAY = 5, 100
@@ -19,10 +19,10 @@ def posts_selected(v):
     deals = v.card.where("in_stock_stores >= 2 and lowest * 10 <= median_open * 9 and lowest * 2 >= median_open")
     key, p = F.concat_ws("|", "market", "slug"), F.col("product_id")
     events = deals.select(key.alias("key"), "product_id", F.expr("(median_open - lowest) * 100 div median_open").alias("score"))
-    run = F.when(p % 3 == 2, RUN - 1).otherwise(RUN)
-    posted = F.when(p % 3 == 0, -1).when(p % 3 == 1, 50).otherwise(TODAY - p % 14)
-    state = v.card.where("product_id % 3 <> 0 or product_id % 2 = 0").select(key.alias("key"), run.alias("run"), posted.alias("posted"))
-    return select_posts(events, state, RUN, TODAY, 6)
+    seen = F.when(p % 3 == 2, RUN - 2).otherwise(RUN - 1)
+    posted = F.when(p % 3 == 1, 50).when(p % 3 == 2, TODAY - p % 14)
+    ledger = v.card.where("product_id % 3 <> 0 or product_id % 2 = 0").select(key.alias("key"), seen.alias("seen_run"), posted.alias("posted_day"))
+    return due_posts(events, ledger, RUN, TODAY, 6)
 
 
 @query(r"""c AS (SELECT doc_id, CASE WHEN regexp_matches(text, '[",\n\r]') THEN '"' || replace(text, '"', '""') || '"' ELSE coalesce(text, '') END AS cell FROM documents)

@@ -93,14 +93,16 @@ def market_wrap(v):
 
 
 @query("""weeks AS (SELECT market, product_id, CAST(date_trunc('week', day) AS DATE) AS week, min(price) AS price FROM history GROUP BY 1, 2, 3),
-r AS MATERIALIZED (SELECT market, product_id, week, row_number() OVER (PARTITION BY market, week ORDER BY price, product_id) AS rank FROM weeks),
-last AS MATERIALIZED (SELECT market, product_id, week + 7 AS week, rank AS last_rank FROM r)
-SELECT market, product_id, week, rank, last_rank FROM (SELECT * FROM r WHERE rank <= 5) LEFT JOIN last USING (market, product_id, week)""")
+placed AS (SELECT market, product_id, week, row_number() OVER (PARTITION BY market, week ORDER BY price, product_id) AS place FROM weeks),
+lagged AS (SELECT market, product_id, week, place, lag(week) OVER (PARTITION BY market, product_id ORDER BY week) AS earlier, lag(place) OVER (PARTITION BY market, product_id ORDER BY week) AS place_then FROM placed)
+SELECT market, product_id, week, place, CASE WHEN earlier = week - 7 THEN place_then END AS last_place FROM lagged WHERE place <= 5""")
 def weekly_ranks(v):
+    """The five lowest prices of a market and week, each with its place of the week before: two windows, no join."""
     weeks = v.history.groupBy(*KEY, F.to_date(F.date_trunc("week", "day")).alias("week")).agg(F.min("price").alias("price"))
-    ranked = weeks.withColumn("rank", F.row_number().over(Window.partitionBy("market", "week").orderBy("price", "product_id")))
-    before = ranked.select(*KEY, F.date_add("week", 7).alias("week"), F.col("rank").alias("last_rank"))
-    return ranked.where("rank <= 5").join(before, [*KEY, "week"], "left").select(*KEY, "week", "rank", "last_rank")
+    placed = weeks.withColumn("place", F.row_number().over(Window.partitionBy("market", "week").orderBy("price", "product_id")))
+    w = Window.partitionBy(*KEY).orderBy("week")
+    lagged = placed.withColumn("last_place", F.when(F.lag("week").over(w) == F.date_sub("week", 7), F.lag("place").over(w)))
+    return lagged.where("place <= 5").select(*KEY, "week", "place", "last_place")
 
 
 @query("""m AS (SELECT market, product_id, CAST(date_trunc('month', day) AS DATE) AS day, min(price) AS price FROM history GROUP BY 1, 2, 3),

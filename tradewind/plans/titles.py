@@ -120,16 +120,16 @@ def title_signatures(v):
 
 
 @query(f"""{TITLES},
-w AS (SELECT id, product_type, set_code, list_filter(list_distinct(string_split(name, ' ')), lambda x: x NOT IN ('small', 'large', 'red', 'blue')) AS words FROM product)
-SELECT a.id, b.id AS other FROM w a JOIN w b ON a.product_type = b.product_type AND a.set_code = b.set_code AND a.id < b.id
-WHERE len(list_filter(a.words, lambda x: NOT list_contains(b.words, x))) = 0 AND len(list_filter(b.words, lambda x: NOT list_contains(a.words, x))) = 0""")
+w AS (SELECT id, product_type, set_code, array_to_string(list_sort(list_distinct(list_filter(string_split(name, ' '), lambda x: x NOT IN ('small', 'large', 'red', 'blue')))), ' ') AS words FROM product),
+g AS (SELECT *, min(id) OVER (PARTITION BY product_type, set_code, words) AS like_id, count(*) OVER (PARTITION BY product_type, set_code, words) AS n FROM w)
+SELECT id, like_id, n FROM g WHERE n > 1""")
 def alike_but_for_noise(v):
-    """Products of one type and set whose names differ in noise words only."""
+    """Products of one type and set whose names differ in noise words only: each with the first of its group and the group's size."""
     noise = F.array(*map(F.lit, ("small", "large", "red", "blue")))
-    rows = v.product.select("id", "product_type", "set_code", F.array_sort(F.array_except(F.split("name", " "), noise)).alias("words"))
-    # equal sets of words, so an equi-join
-    other = rows.withColumnRenamed("id", "other")
-    return rows.join(other, ["product_type", "set_code", "words"]).where("id < other").select("id", "other")
+    words = F.array_join(F.array_sort(F.array_distinct(F.array_except(F.split("name", " "), noise))), " ")
+    rows = v.product.select("id", "product_type", "set_code", words.alias("words"))
+    groups = rows.groupBy("product_type", "set_code", "words").agg(F.min("id").alias("like_id"), F.count("*").alias("n")).where("n > 1")
+    return rows.join(groups, ["product_type", "set_code", "words"]).select("id", "like_id", "n")
 
 
 @query("""codes AS (SELECT upper(regexp_replace(set_code, '[^A-Za-z0-9]', '', 'g')) AS code, count(*) AS products FROM product GROUP BY 1)
