@@ -6,7 +6,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, groupby
 
 import numpy as np
 import pandas as pd
@@ -36,7 +36,8 @@ MIN_SHARE = 0.01
 KNOWN_WORDS, LEARNED_AT_ONCE, CALL_ROWS = 300_000, 10_000, 250
 #: Odd multiplier of the rolling key of an n-gram.
 MIX = np.uint64(0x9E3779B97F4A7C15)
-WORD = re.compile(r"[^\W\d_]+")
+#: Letters, and signs such as ½ or ② that words_of() takes out again.
+LETTERLIKE = re.compile(r"[^\W\d_]+")
 
 #: First code points of the ranges by which a word's first letter gives its script.
 SCRIPTS = (
@@ -49,6 +50,14 @@ SCRIPTS = (
 )
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters (Unicode's categories L only: no digits, number-like signs or lone marks)."""
+    found = LETTERLIKE.findall(text)
+    if "".join(found).isalpha():
+        return found
+    return ["".join(run) for w in found for letters, run in groupby(w, str.isalpha) if letters]
+
+
 def script(word: str) -> str:
     code, low, high = ord(word[0]), 0, len(SCRIPTS)
     while high - low > 1:
@@ -81,7 +90,7 @@ class Languages:
         self.names = sorted(texts)
         counts, words, scripts = [], [], []
         for lang in self.names:
-            found = Counter(w.lower() for t in texts[lang] for w in WORD.findall(t))
+            found = Counter(w.lower() for t in texts[lang] for w in words_of(t))
             mine, shapes = Counter(), Counter()
             for w, n in found.items():
                 shapes[script(w)] += n
@@ -186,7 +195,7 @@ class Languages:
         """(words in each text, numbers of all words in turn). New words of all texts are scored in one go."""
         if len(self.known) > KNOWN_WORDS:
             self.forget()
-        found = [WORD.findall(t.lower()) if t else [] for t in texts]
+        found = [words_of(t.lower()) if t else [] for t in texts]
         flat = list(chain.from_iterable(found))
         # in order of appearance, so that equal input gives equal numbers
         self.learn([w for w in dict.fromkeys(flat) if w not in self.known])
@@ -218,7 +227,7 @@ class Languages:
 
     def label(self, text: str | None) -> tuple[list[str], np.ndarray]:
         """The words of a text and the number of the language of each, by Viterbi."""
-        words = WORD.findall((text or "").lower())
+        words = words_of((text or "").lower())
         if not words or not self.names:
             return words, np.zeros(0, dtype=np.int64)
         ((_, path),) = self.paths([text])
