@@ -15,8 +15,8 @@ from tradewind.llm.store import fresh, materialize, read_table
 from tradewind.llm.text import alnum_words
 
 WINDOW = 10
-#: Bytes of benchmark text that are broadcast at a time; a larger benchmark takes several passes.
-BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark text that are broadcast at a time, some 300,000 windows or 50 MB in memory; a larger benchmark takes several passes.
+BLOCK_BYTES = 2 << 20
 #: Words of one shard, i.e. of one suffix array.
 SHARD_WORDS = 2_000_000
 #: Pairs of an occurrence and a place in an item that are looked at together.
@@ -24,36 +24,45 @@ PAIRS = 4_000_000
 
 
 class TestSuffixes:
-    """A block of the benchmark: the distinct windows that start a test suffix, and where they occur."""
+    """A block of the benchmark: the distinct windows that start a test suffix, in word order, and where they occur."""
 
     def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW):
         self.window, self.vocab = window, {}
-        starts: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        self.items = []
+        number = self.vocab
+        self.items, texts = [], []
         for item, text in items:
-            ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in alnum_words(text)]
-            if ids:
-                n = min(window, len(ids))
-                for j in range(len(ids) - n + 1):
-                    starts.setdefault(tuple(ids[j : j + n]), []).append((len(self.items), j))
+            ids = np.fromiter((number.setdefault(w, len(number) + 1) for w in alnum_words(text)), dtype=np.uint32)
+            if len(ids):
                 self.items.append(item)
-        self.windows = list(starts)
-        self.lengths = np.array([len(w) for w in self.windows], dtype=np.int64)
-        #: Items and word positions of the places of each window, one window after another.
-        self.n_places = np.array([len(starts[w]) for w in self.windows], dtype=np.int64)
-        self.first_place = np.cumsum(self.n_places) - self.n_places
-        flat = np.array([x for w in self.windows for x in starts[w]], dtype=np.int64).reshape(-1, 2)
-        self.place_item, self.place_word = flat[:, 0], flat[:, 1]
-        self.low = self._keys([w + (0,) * (window - len(w)) for w in self.windows])
-        self.high = self._keys([w + (0xFFFFFFFF,) * (window - len(w)) for w in self.windows])
-        size = len(self.vocab) + 1
+                texts.append(ids)
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        end = np.zeros(window, dtype=np.uint32)
+        words = np.concatenate([x for t in texts for x in (t, end)]) if texts else end
+        begins = np.cumsum(sizes + window) - sizes - window
+        n_windows = np.maximum(sizes - window, 0) + 1
+        item = np.repeat(np.arange(len(texts), dtype=np.int32), n_windows)
+        word = (np.arange(len(item)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)).astype(np.int32)
+        at = begins[item] + word if len(item) else np.zeros(0, dtype=np.int64)
+        keys = self._keys(words[at[:, None] + np.arange(window)])
+        order = np.argsort(keys, kind="stable")
+        keys, self.place_item, self.place_word = keys[order], item[order], word[order]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, dtype=np.int64)
+        self.low = keys[first]
+        #: Number of the places of each window; they stand one window after another, items and words within them in order.
+        self.n_places = np.diff(np.r_[first, len(keys)])
+        self.first_place = first
+        self.lengths = np.minimum(sizes[self.place_item[first]], window) if len(first) else first
+        #: Windows of items shorter than `window`, and the keys that end what begins with them.
+        self.short = np.flatnonzero(self.lengths < window)
+        rows = words[at[order[first[self.short]]][:, None] + np.arange(window)] if len(self.short) else np.zeros((0, window), dtype=np.uint32)
+        self.high = self._keys(np.where(np.arange(window) < self.lengths[self.short][:, None], rows, np.uint32(0xFFFFFFFF)))
+        self.size = len(number) + 1
         #: Shortest window by its first word, and the word pairs that occur within windows.
-        self.shortest = np.full(size + 1, 1 << 40, dtype=np.int64)
-        pairs = set()
-        for w in self.windows:
-            self.shortest[w[0]] = min(self.shortest[w[0]], len(w))
-            pairs.update(a * size + b for a, b in zip(w, w[1:]))
-        self.pairs, self.size = np.array(sorted(pairs), dtype=np.int64), size
+        self.shortest = np.full(self.size + 1, 1 << 40, dtype=np.int64)
+        if len(first):
+            np.minimum.at(self.shortest, words[at[order[first]]], self.lengths)
+        both = (words[:-1] > 0) & (words[1:] > 0)
+        self.pairs = np.unique(words[:-1][both].astype(np.int64) * self.size + words[1:][both])
 
     def _keys(self, rows) -> np.ndarray:
         """Big-endian bytes, so that byte order is word order."""
@@ -93,9 +102,10 @@ class Shard:
 
     def search(self, test: TestSuffixes) -> tuple[np.ndarray, np.ndarray]:
         """Binary search of every test suffix: (position, window number) of all occurrences."""
-        if not len(test.windows) or not len(self.keys):
+        if not len(test.low) or not len(self.keys):
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        low, high = np.searchsorted(self.keys, test.low, "left"), np.searchsorted(self.keys, test.high, "right")
+        low, high = np.searchsorted(self.keys, test.low, "left"), np.searchsorted(self.keys, test.low, "right")
+        high[test.short] = np.searchsorted(self.keys, test.high, "right")
         counts = high - low
         which = np.repeat(np.arange(len(counts)), counts)
         offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
