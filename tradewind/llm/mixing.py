@@ -28,6 +28,8 @@ FILL = 10.0
 FOLDS = 5
 #: Newton steps of the calibration, and the penalty on its squared weights.
 NEWTON, RIDGE = 12, 1.0
+#: Largest rate, so that no document is shipped more often however rare its domain is.
+MOST = 4.0
 #: Steps of the projected gradient after which it is an error that it has not settled; WRITTEN of them lie between two written tables.
 STEPS, WRITTEN = 300, 8
 #: Steps that are tried in one pass: how far, and the share of its trace that is added to the diagonal of their matrix.
@@ -233,20 +235,21 @@ def _largest(g: list[list[float]]) -> float:
     return max(sum(x * y for x, y in zip(row, v, strict=True)) / u for row, u in zip(g, v, strict=True))
 
 
-def fit_rates(rows: DataFrame, targets: list[float], steps: int = STEPS, tolerance: float = 5e-5, still: float = STILL) -> tuple[Column, list[float]]:
+def fit_rates(rows: DataFrame, targets: list[float], steps: int = STEPS, tolerance: float = 5e-5, still: float = STILL, most: float | None = None, strict: bool = True) -> tuple[Column, list[float]]:
     """(rate, reached): rate is a Column over rows (n_tokens, p) whose expected domain totals are nearest to targets.
 
-    Minimizes |A r - T|^2 over r >= 0, from r = 1, by projected gradient: A[k, i] = n_tokens * p[k] of row i. A step is
-    r <- max(0, r - p' x), and rows at zero that the gradient p' e (e = A r - T) holds there stay. x is e in the
+    Minimizes |A r - T|^2 over 0 <= r <= most (no bound for None), from r = 1, by projected gradient: A[k, i] = n_tokens * p[k] of row i. A step is
+    r <- r - p' x, brought back between the bounds, and rows at a bound that the gradient p' e (e = A r - T) holds there stay. x is e in the
     metric of the other rows, e times the inverse of their sum of n_tokens * p p', which nearly meets the targets at once where no
-    row is cut off at zero; of its DAMPS and LENGTHS, the pair that leaves the least |e|; or e / L, a step in the plain metric, if that
+    row is cut off at a bound; of its DAMPS and LENGTHS, the pair that leaves the least |e|; or e / L, a step in the plain metric, if that
     leaves less. L is the largest eigenvalue of that sum over all rows, so a plain step never overshoots, and |e| falls in every
     step. Rates depend on p alone, so rows of equal p are one row of the iteration.
 
     A step needs two distributed sums of a few numbers. The latest steps are a fold over a table of r that is written again
     after every WRITTEN of them, and the rate is a fold over all. Ends when every total is within `tolerance` of the whole
     budget; or when a plain step would move rates by `still` at most, the root mean square by tokens, or no step makes |e|
-    less, which is the minimum where no nonnegative rates reach the targets. RuntimeError if none holds after `steps`. No rows: rate 1.
+    less, which is the minimum where no rates between the bounds reach the targets. After `steps` it is a RuntimeError that none holds, or,
+    if not strict, the nearest totals so far are taken; they only come nearer. No rows: rate 1.
     """
     k = len(targets)
     p = lambda i: F.col("p")[i]
@@ -263,22 +266,28 @@ def fit_rates(rows: DataFrame, targets: list[float], steps: int = STEPS, toleran
     numbers = lambda by: "array(" + ", ".join(f"array({', '.join(f'{y!r}D' for y in x)})" for x in by) + ")"
     dot = lambda x, first: " + ".join(f"{x}[{first + i}] * p[{i}]" for i in range(k))
     # of x = [x, e]; the numbers of steps are one constant, so that all steps share compiled code
-    moved = lambda r, x: f"if({r} <= 0D and {dot(x, k)} > 0D, 0D, greatest(0D, {r} - ({dot(x, 0)})))"
+    box = lambda r: f"greatest(0D, {r})" if most is None else f"least({most!r}D, greatest(0D, {r}))"
+    top = lambda r, x: "" if most is None else f"when {r} >= {most!r}D and {dot(x, k)} < 0D then {most!r}D "
+    moved = lambda r, x: f"case when {r} <= 0D and {dot(x, k)} > 0D then 0D {top(r, x)}else {box(f'{r} - ({dot(x, 0)})')} end"
 
     def fold(by: list[list[float]], r: str) -> Column:
         return F.expr(f"aggregate({numbers(by)}, {r}, (at, x) -> {moved('at', 'x')})") if by else F.expr(r)
 
     taken: list[list[float]] = []
     lately: list[list[float]] = []
-    state, stored = alike.withColumn("r", F.lit(1.0)), alike
+    state, stored = alike.withColumn("r", F.lit(1.0 if most is None else min(1.0, most))), alike
     while every and not near():
         if len(taken) == steps:
+            if not strict:
+                log.warning("mixing rates did not settle in %d steps: totals %s for targets %s", steps, reached, targets)
+                break
             raise RuntimeError(f"mixing rates did not settle in {steps} steps: totals {reached} for targets {targets}")
         e = [x - t for x, t in zip(reached, targets, strict=True)]
         plain = [x / whole for x in e]
         tried = state.select("n_tokens", "p", fold(lately, "r").alias("r"))
-        tried = tried.withColumn("move", F.col("r") - F.expr(f"transform({numbers([plain + e])}, x -> greatest(0D, r - ({dot('x', 0)})))")[0])
-        free = F.when((F.col("r") > 0) | (F.col("move") < 0), weight).otherwise(0.0)
+        tried = tried.withColumn("move", F.col("r") - F.expr(f"transform({numbers([plain + e])}, x -> {box(f"r - ({dot('x', 0)})")})")[0])
+        inside = F.lit(True) if most is None else (F.col("r") < most) | (F.col("move") > 0)
+        free = F.when(((F.col("r") > 0) | (F.col("move") < 0)) & inside, weight).otherwise(0.0)
         squares, *gram = tried.agg(total(weight * F.col("move") * F.col("move")), *products(free)).first()
         if squares <= still * still * every:
             break
@@ -300,7 +309,7 @@ def fit_rates(rows: DataFrame, targets: list[float], steps: int = STEPS, toleran
             drop(stored)
             stored, lately = state, []
     drop(stored)
-    return fold(taken, "1D"), reached
+    return fold(taken, "1D" if most is None else f"{min(1.0, most)!r}D"), reached
 
 
 def domain_labels(labels: DataFrame) -> DataFrame:
@@ -324,10 +333,10 @@ class Mix:
         return math.sqrt(sum((self.reached[d] - self.wanted[d]) ** 2 for d in self.wanted))
 
 
-def _settled(members: DataFrame, model: Classifier, targets: dict[str, float]) -> Mix:
+def _settled(members: DataFrame, model: Classifier, targets: dict[str, float], most: float | None) -> Mix:
     domains, weight = sorted(targets), sum(targets.values())
     budget = members.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
-    rate, reached = fit_rates(members, [budget * targets[d] / weight for d in domains])
+    rate, reached = fit_rates(members, [budget * targets[d] / weight for d in domains], most=most, strict=False)
     shares = {d: x / max(1, budget) for d, x in zip(domains, reached, strict=True)}
     mix = Mix(model, rate, shares, {d: targets[d] / weight for d in domains})
     log.info("log loss %.4f (shares alone %.4f); shares reached %s, wanted %s", model.loss, model.prior_loss, mix.reached, mix.wanted)
@@ -340,7 +349,7 @@ def copies_of(rate: str, *row: str) -> Column:
     return F.floor(F.col(rate) + chance).cast("int")
 
 
-def rated(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, Mix]:
+def rated(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text: str = "text", most: float | None = MOST) -> tuple[DataFrame, Mix]:
     """((id, n_tokens, p, rate, copies) for each row of docs, the Mix). p follows the names of targets, sorted.
 
     The budget is all tokens of docs; a row has its words and an end. Weights need not sum to 1. Where no rates reach the
@@ -350,19 +359,22 @@ def rated(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_co
     model = fit_classifier(docs, labelled, sorted(targets), id_col, text)
     rows = with_membership(docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text).alias("h"), F.col(text).alias("t")), model, "t")
     rows = materialize(rows.select("row.id", "row.h", "n_tokens", "p"), "posteriors")
-    mix = _settled(rows.select("n_tokens", "p"), model, targets)
+    mix = _settled(rows.select("n_tokens", "p"), model, targets, most)
     return rows.withColumn("rate", mix.rate).withColumn("copies", copies_of("rate", "h")).drop("h"), mix
 
 
-def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, each `copies` times (none at 0), with the columns of docs.
+def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text: str = "text", most: float | None = MOST) -> DataFrame:
+    """The rows of docs, each `copies` times (none at 0, and no more than `most`), with the columns of docs.
+
+    Where the targets ask for more of a domain than `most` times what there is, its rows are at the bound and the totals are those
+    nearest by least squares; the log has them.
 
     Posteriors are computed once for the rates and again where rows are copied: texts are read twice and never shuffled.
     """
     model = fit_classifier(docs, labelled, sorted(targets), id_col, text)
     only = docs.select(F.col(text).alias("t"))
     members = materialize(with_membership(only, model, "t").groupBy("p").agg(F.sum("n_tokens").alias("n_tokens")), "posteriors")
-    mix = _settled(members, model, targets)
+    mix = _settled(members, model, targets, most)
     rows = with_membership(docs, model, text).withColumn("rate", mix.rate)
     rows = rows.withColumn("h", F.xxhash64(F.col(f"row.`{id_col}`"), F.col(f"row.`{text}`")))
     return rows.select("row", F.explode(F.array_repeat(F.lit(0), copies_of("rate", "h")))).select("row.*")
