@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradewind.llm.store import drop, materialize, read_table
+from tradewind.llm.text import crc32_sql
 from tradewind.llm.toxicity import fold_of
 
 #: Levels that one upper step climbs: it meets at most 2 ** CLIMB nodes in a task.
@@ -247,3 +248,32 @@ def op12_merkle(spark, sf_dir: str) -> DataFrame:
     found = proofs(docs, fields, "lang", "doc_id", carry)
     found = found.withColumn("check", folded(F.coalesce("altered", "leaf")))
     return found.select("doc_id", "leaf", "subroot", "root", "check.proof_sha256", "check.folded_root", (F.col("check.folded_root") == F.col("root")).alias("verified"))
+
+
+def _field_sql(value: str) -> str:
+    return f"coalesce(octet_length(encode(CAST({value} AS VARCHAR))) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    return f"sha256({' || '.join(map(_field_sql, ('doc_id', 'source', 'lang', n_chars, 'text')))})"
+
+
+def _tree_sql(tree: str, leaves: str) -> str:
+    """Nodes of all trees over (g, pos, h, tall), level by level."""
+    return f"""{tree} AS (SELECT g, 0 AS level, pos, h, tall FROM {leaves}
+  UNION ALL SELECT g, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), any_value(tall) FROM {tree} WHERE level < tall GROUP BY g, level, pos // 2)"""
+
+
+_UP = "sha256(CASE WHEN s.h IS NULL THEN f.h WHEN f.pos % 2 = 0 THEN f.h || s.h ELSE s.h || f.h END)"
+#: The rows of op12_merkle.
+SQL = f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce('=' || lang, '') AS g, {_leaf_sql('n_chars')} AS leaf, CASE WHEN {crc32_sql("coalesce(CAST(doc_id AS VARCHAR), '')")} % 7 = 0 THEN {_leaf_sql('n_chars + 1')} END AS altered FROM documents),
+leaves AS (SELECT doc_id, g, leaf AS h, coalesce(altered, leaf) AS tried, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, CAST(ceil(log2(count(*) OVER (PARTITION BY g))) AS INT) AS tall FROM d),
+{_tree_sql('tree', 'leaves')},
+subs AS (SELECT '' AS g, g AS name, h, row_number() OVER (ORDER BY g) - 1 AS pos, CAST(ceil(log2(count(*) OVER ())) AS INT) AS tall FROM tree WHERE level = tall),
+{_tree_sql('top', 'subs')},
+f AS (SELECT doc_id, h AS leaf, g, 0 AS level, pos, tried AS h, '' AS path, tall FROM leaves
+  UNION ALL SELECT f.doc_id, f.leaf, f.g, f.level + 1, f.pos // 2, {_UP}, f.path || coalesce(s.h, ''), f.tall FROM f LEFT JOIN tree s ON s.g = f.g AND s.level = f.level AND s.pos = xor(f.pos, 1) WHERE f.level < f.tall),
+u AS (SELECT doc_id, leaf, f.g, 0 AS level, subs.pos, f.h, path, subs.tall FROM f JOIN subs ON subs.name = f.g WHERE f.level = f.tall
+  UNION ALL SELECT f.doc_id, f.leaf, f.g, f.level + 1, f.pos // 2, {_UP}, f.path || coalesce(s.h, ''), f.tall FROM u f LEFT JOIN top s ON s.level = f.level AND s.pos = xor(f.pos, 1) WHERE f.level < f.tall)
+SELECT u.doc_id, u.leaf, subs.h AS subroot, top.h AS root, sha256(u.path) AS proof_sha256, u.h AS folded_root, u.h = top.h AS verified
+FROM u JOIN subs ON subs.name = u.g JOIN top ON top.level = top.tall WHERE u.level = u.tall"""

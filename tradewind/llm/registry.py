@@ -24,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op11_variants": variants.SQL, "op12_merkle": merkle.SQL}

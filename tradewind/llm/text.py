@@ -30,3 +30,11 @@ def alnum_words(text: str | None) -> list[bytes]:
 def fold(doc_id, modulus: int) -> int:
     """crc32 of the id as text, modulo; a null id has the empty text."""
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % modulus
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB expression for the unsigned crc32 of the UTF-8 bytes of a text expression; its polynomial is a fixed value."""
+    code = f"hex(encode({text}))"
+    steps = f"flatten(list_transform(range(0, CAST(length({code}) // 2 AS BIGINT)), lambda i: [CAST('0x' || substr({code}, CAST(2 * i + 1 AS INT), 2) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    step = "CASE WHEN v >= 0 THEN xor(c, v) WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    return f"xor(list_reduce(list_prepend(4294967295, {steps}), lambda c, v: {step}), 4294967295)"

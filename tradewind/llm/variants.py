@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from tradewind.llm.store import drop, materialize, read_table
+from tradewind.llm.text import crc32_sql
 
 LEAST_LENGTH, LEAST_COUNT = 7, 2
 TYPO_EVERY = 31
@@ -367,3 +368,18 @@ def spelling_variants(docs: DataFrame, id_col: str = "doc_id", text: str = "text
 
 def op11_variants(spark, sf_dir: str) -> DataFrame:
     return spelling_variants(read_table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+#: The rows of op11_variants, with near words found through their deletions.
+SQL = f"""WITH RECURSIVE runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+low AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM runs WHERE length(run) >= {LEAST_LENGTH} GROUP BY 1, 2),
+hashed AS (SELECT run, n, {crc32_sql("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run")} AS h FROM low),
+spelled AS (SELECT CASE WHEN h % {TYPO_EVERY} = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, n FROM hashed),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM spelled WHERE length(word) >= {LEAST_LENGTH} GROUP BY 1 HAVING sum(n) >= {LEAST_COUNT}),
+cut AS (SELECT word, substr(word, 1, i - 1) AS head, substr(word, i + 1) AS tail FROM (SELECT word, unnest(range(1, CAST(length(word) + 1 AS BIGINT))) AS i FROM w)),
+one AS (SELECT a.word, b.word AS other FROM cut a JOIN cut b ON a.head = b.head AND a.tail = b.tail AND length(a.word) = length(b.word) WHERE a.word <> b.word
+  UNION SELECT cut.word, w.word FROM cut JOIN w ON w.word = head || tail UNION SELECT w.word, cut.word FROM cut JOIN w ON w.word = head || tail),
+best AS (SELECT one.word, other, w.n AS other_n, count(*) OVER (PARTITION BY one.word) AS n_near, row_number() OVER (PARTITION BY one.word ORDER BY w.n DESC, other) AS rn FROM one JOIN w ON w.word = other),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= {TIMES} * w.n THEN other END AS form, CASE WHEN other_n >= {TIMES} * w.n THEN other_n END AS form_n FROM w LEFT JOIN best ON best.word = w.word AND rn = 1),
+chain AS (SELECT word, word AS at FROM forms UNION ALL SELECT chain.word, form FROM chain JOIN forms ON forms.word = chain.at WHERE form IS NOT NULL)
+SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n FROM forms f JOIN chain c ON c.word = f.word JOIN forms last_form ON last_form.word = c.at WHERE last_form.form IS NULL"""
