@@ -47,3 +47,30 @@ def js_months_back(day: Column, months: int) -> Column:
 def two_proportion_z(hits_a: Column, n_a: Column, hits_b: Column, n_b: Column) -> Column:
     pooled = (hits_a + hits_b) / (n_a + n_b)
     return (hits_a / n_a - hits_b / n_b) / F.sqrt(pooled * (1 - pooled) * (1 / n_a + 1 / n_b))
+
+
+def after_fee(cents: Column, percent: Column) -> Column:
+    """A price less a fee in percent, held between 0 and 100; the fee is rounded half up."""
+    share = F.least(F.lit(100), F.greatest(F.lit(0), percent))
+    return cents - half_up(cents * share / 100)
+
+
+def grading_outlook(raw: Column, costs: Column, percent: Column, grades: list[tuple[Column, Column]]) -> Column:
+    """Struct of raw_net, break_even, weighted_net and against_raw for grades of (chance in percent, price).
+
+    break_even is the price at which a graded sale leaves what the raw one does, rounded up; null if the fee takes all. Chances that do
+    not add up to 100 are taken in proportion, negative ones as none; without any there is no weighted net.
+    """
+    none = F.lit(0)
+    raw_net, keep = after_fee(F.greatest(none, raw), percent), 1 - F.least(F.lit(100), F.greatest(none, percent)) / 100
+    weights = [F.greatest(none, chance) for chance, _ in grades]
+    total = sum(weights[1:], weights[0])
+    nets = [after_fee(F.greatest(none, price), percent) - costs for _, price in grades]
+    weighted = F.when(total > 0, half_up(sum((n * w / total for n, w in zip(nets[1:], weights[1:])), nets[0] * weights[0] / total)))
+    even = F.when(keep > 0, F.ceil((raw_net + costs) / keep).cast("long"))
+    return F.struct(raw_net.alias("raw_net"), even.alias("break_even"), weighted.alias("weighted_net"), (weighted - raw_net).alias("against_raw"))
+
+
+def day_in_zone(at: Column, zone: str) -> Column:
+    """The calendar day of a UTC time in a zone, as text YYYY-MM-DD."""
+    return F.date_format(F.convert_timezone(F.lit("UTC"), F.lit(zone), at.cast("timestamp_ntz")), "yyyy-MM-dd")

@@ -40,3 +40,21 @@ def listing_filter(status: str | None = None, search: str | None = None, low: in
     if high is not None:
         out = out & (F.col("price") <= high)
     return out
+
+
+def across_games(asked: dict[str, str], games: list[str], known: set[str], game: str = "game", kind: str = "kind", set_name: str = "set_name", name: str = "name") -> Column:
+    """One search over several games: the game asked for if there is such a one, else those of the visitor.
+
+    `kind` (single or sealed) and `set` narrow it. `q` stands in the name, case aside, or, from two characters on without spaces and
+    signs, in the name without spaces and signs. Anything else that is asked is passed over; no games, no rows.
+    """
+    out = F.col(game) == asked["game"] if asked.get("game") in known else F.col(game).isin(games) if games else F.lit(False)
+    if asked.get("kind") in ("single", "sealed"):
+        out = out & (F.col(kind) == asked["kind"])
+    if asked.get("set"):
+        out = out & (F.col(set_name) == asked["set"])
+    if text := asked.get("q", "").strip():
+        bare = "".join(c for c in text.lower() if c.isascii() and c.isalnum())
+        hit = F.contains(F.lower(name), F.lit(text.lower()))
+        out = out & (hit | F.contains(F.regexp_replace(F.lower(name), "[^a-z0-9]", ""), F.lit(bare)) if len(bare) >= 2 else hit)
+    return out

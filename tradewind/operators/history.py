@@ -78,3 +78,23 @@ def episodes(events: DataFrame, key: list[str], at: str, tie: str, state: str) -
     turned = flips(events, key, [at, tie], state)
     w = Window.partitionBy(*key).orderBy(at, tie)
     return turned.withColumn("closed", F.lead(at).over(w)).where(F.col(state)).select(*key, F.col(at).alias("opened"), "closed")
+
+
+def weekly_values(points: DataFrame, key: list[str], last: Column, day: str = "day", value: str = "price") -> DataFrame:
+    """(key, sunday, value): what each series is worth on every Sunday up to `last`, from its change points.
+
+    A point holds until the next one of its series, so it stands for the Sundays between them: one window and one row for each week,
+    never a row for each day and never a join of series with weeks.
+    """
+    until = F.coalesce(F.date_sub(F.lead(day).over(Window.partitionBy(*key).orderBy(day)), 1), last)
+    first = F.date_add(F.col(day), F.pmod(F.lit(1) - F.dayofweek(day), F.lit(7)))
+    held = points.withColumn("__until", F.least(until, last)).withColumn("__first", first).where("__first <= __until")
+    return held.select(*key, F.explode(F.expr("sequence(__first, __until, interval 7 days)")).alias("sunday"), value)
+
+
+def weekly_moves(values: DataFrame, key: list[str], value: str = "price") -> DataFrame:
+    """(key, sunday, before, after) of weeks at both ends of which a series has a value that is not null."""
+    w = Window.partitionBy(*key).orderBy("sunday")
+    lagged = values.withColumn("__day", F.lag("sunday").over(w)).withColumn("before", F.lag(value).over(w))
+    whole = (F.datediff("sunday", "__day") == 7) & F.col("before").isNotNull() & F.col(value).isNotNull()
+    return lagged.where(whole).select(*key, "sunday", "before", F.col(value).alias("after"))

@@ -43,3 +43,28 @@ def upsert(stored: DataFrame, fresh: DataFrame, key: str, missing: dict[str, Col
     rows = old.join(new, "k", "full")
     kept = rows.select(F.col("new").isNotNull().alias("here"), *[F.when(F.col("new").isNotNull(), F.col(f"new.{c}")).otherwise(missing.get(c, F.col(f"old.{c}"))).alias(c) for c in stored.columns])
     return kept.where(F.col("here") | ~F.coalesce(prune, F.lit(False))).drop("here")
+
+
+class RefusedOverwrite(ValueError):
+    """The new table is empty, or has less than the share of the old rows that was asked for."""
+
+
+def overwrite_table(fresh: DataFrame, path: str, least_share: float = 0.0) -> int:
+    """Replaces all of a stored table, and returns its rows. fresh may be computed from the stored one.
+
+    It is written beside it first and counted there; the old one goes only when the new one is complete, so a job that fails leaves
+    it as it was. An empty table, or one of less than least_share of the old rows, is refused.
+    """
+    spark = fresh.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = lambda name: jvm.org.apache.hadoop.fs.Path(name)
+    fs, beside = place(path).getFileSystem(conf), f"{path.rstrip('/')}.next"
+    fresh.write.mode("overwrite").parquet(beside)
+    rows = spark.read.parquet(beside).count()
+    before = spark.read.parquet(path).count() if fs.exists(place(path)) else 0
+    if not rows or rows < before * least_share:
+        fs.delete(place(beside), True)
+        raise RefusedOverwrite(f"{rows} rows, {before} before")
+    fs.delete(place(path), True)
+    fs.rename(place(beside), place(path))
+    return rows

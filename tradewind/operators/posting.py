@@ -5,10 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tradewind.operators.ranking import first_per
+
 #: An event rests this many days after it was posted; it is forgotten when it has rested and was not seen in KEPT_RUNS runs.
 REST_DAYS, KEPT_RUNS = 7, 60
 
 
+def found_events(summaries: DataFrame, points: DataFrame, through: Column, deal: Column, returns: Column) -> DataFrame:
+    """(key, kind, market, product_id, cents, score): the deals and the returns to stock that hold now.
+
+    summaries has a row for each product and market with lowest, in_stock_stores and median_open; points the change points
+    (market, product_id, day, price, stores) of their series. A `deal` is a summary for which the condition of that name holds; it scores
+    the percent it is under the median. A `return` is an open summary for which `returns` holds and whose latest point is of the day
+    `through` with stores in stock, the one before it without any; it scores 1,000 and its stores, before every deal. The last two points of
+    a series are one grouped top-2, so no series is gathered.
+    """
+    key = lambda kind: F.concat_ws("|", F.lit(kind), "market", F.col("product_id").cast("string")).alias("key")
+    under = F.floor((1 - F.col("lowest") / F.col("median_open")) * 100 + 0.5).cast("long")
+    deals = summaries.where(deal).select(key("deal"), F.lit("deal").alias("kind"), "market", "product_id", F.col("lowest").alias("cents"), under.alias("score"))
+    latest = first_per(points, ["market", "product_id"], [F.desc("day")], 2, "__n")
+    two = latest.groupBy("market", "product_id").agg(
+        F.max(F.when(F.col("__n") == 1, F.col("day"))).alias("day"), F.max(F.when(F.col("__n") == 1, F.col("stores"))).alias("now"), F.max(F.when(F.col("__n") == 2, F.col("stores"))).alias("was")
+    ).where((F.col("day") == through) & (F.col("now") > 0) & (F.col("was") == 0))
+    back = summaries.where((F.col("in_stock_stores") > 0) & returns).join(two.select("market", "product_id"), ["market", "product_id"], "left_semi")
+    back = back.select(key("return"), F.lit("return").alias("kind"), "market", "product_id", F.col("lowest").alias("cents"), (1000 + F.col("in_stock_stores")).alias("score"))
+    return deals.unionByName(back)
+
+
 def with_standing(events: DataFrame, ledger: DataFrame, run: int, today: int, rest_days: int = REST_DAYS) -> DataFrame:
     """events (key, ..) plus `standing` in run number `run`, on the day of number `today`.
 

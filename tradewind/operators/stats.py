@@ -29,6 +29,22 @@ def market_summary(offers: DataFrame) -> DataFrame:
     )
 
 
+def full_summary(offers: DataFrame, marketplace: Column, dormant: DataFrame, fresh: Column) -> DataFrame:
+    """market_summary() with marketplaces and dormant stores told apart, and `marketplace_open`.
+
+    An offer is open if it is in stock and `fresh` holds. lowest is the cheapest open offer of any kind; stores in stock and the
+    median are of independent stores only, and a marketplace sets marketplace_open instead; listed stores leave out marketplaces
+    and the stores of `dormant` (store). Offers are unique by product and store.
+    """
+    asleep = dormant.select("store", F.lit(True).alias("__asleep")).distinct()
+    rows = offers.join(asleep, "store", "left").withColumn("__open", F.col("in_stock") & fresh).withColumn("__market", marketplace)
+    own = F.when(F.col("__open") & ~F.col("__market"), F.col("price"))
+    return rows.groupBy("product_id", "market").agg(
+        F.min(F.when(F.col("__open"), F.col("price"))).alias("lowest"), F.count(own).alias("in_stock_stores"), F.count_if(~F.col("__market") & F.col("__asleep").isNull()).alias("listed_stores"),
+        F.bool_or(F.col("__open") & F.col("__market")).alias("marketplace_open"), F.when(F.count(own) >= 2, F.floor(F.percentile(own, 0.5) + 0.5).cast("long")).alias("median_open"),
+    )
+
+
 def is_open() -> Column:
     return F.col("in_stock_stores") > 0
 

@@ -29,7 +29,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def _load() -> None:
-    from tradewind.plans import boards, catalogue, cleaning, loaders, market, posts, reads, series, texts, titles  # noqa: F401
+    from tradewind.plans import boards, catalogue, cleaning, loaders, market, posts, reads, selling, series, texts, titles  # noqa: F401
 
 
 def queries() -> dict:
