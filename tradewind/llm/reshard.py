@@ -165,7 +165,7 @@ def reshard(docs: DataFrame, old_shard=None, shards: int = SHARDS, text: str = "
     return _resharded(docs, old_shard, shards, text, stored)[0]
 
 
-def _resharded(docs: DataFrame, old_shard, shards: int, text: str, stored: bool, capacities: list[int] | None = None) -> tuple[DataFrame, Plan]:
+def _resharded(docs: DataFrame, old_shard, shards: int, text: str, stored: bool, capacities: list[int] | None = None) -> tuple[DataFrame, Plan, dict[str, str]]:
     names = {c: fresh(docs, c) for c in ("shard", "slot", "moved")}
     old = (old_shard if old_shard is not None else default_old_shard()).cast("int")
     if not stored:
@@ -181,22 +181,24 @@ def _resharded(docs: DataFrame, old_shard, shards: int, text: str, stored: bool,
     dealt = placed(docs.select(row, place, old.alias("old")), to).repartition(*keys)
     inside = F.row_number().over(Window.partitionBy(*keys).orderBy("h"))
     numbered = dealt.join(counts, keys).withColumn("slot", F.col("base") + inside - 1).withColumn("moved", F.col("shard") != F.col("old"))
-    return numbered.select("row.*", *[F.col(c).alias(n) for c, n in names.items()]), to
+    return numbered.select("row.*", *[F.col(c).alias(n) for c, n in names.items()]), to, names
 
 
 def default_old_shard(source: str = "source"):
     return F.pmod(F.xxhash64(F.coalesce(source, F.lit("")), F.lit(3)), F.lit(OLD_SHARDS)).cast("int")
 
 
-def write_shards(rows: DataFrame, path: str, changed: list[int] | None = None) -> None:
+def write_shards(rows: DataFrame, path: str, changed: list[int] | None = None, shard: str = "shard", slot: str = "slot") -> None:
     """Rewrite the files of the shards in `changed` (None: all), a folder each; others are left alone.
 
+    shard and slot are the columns that reshard() gave their numbers to; folders are named by the former.
+
     Rows of reshard() are already dealt out by blocks of BLOCK_BYTES, so a large shard is several files and no row moves again.
     """
     if changed is not None:
-        rows = rows.where(F.col("shard").isin(changed))
-    dealt = rows.sortWithinPartitions("shard", "slot")
-    dealt.write.mode("overwrite").partitionBy("shard").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").parquet(path)
+        rows = rows.where(F.col(shard).isin(changed))
+    dealt = rows.sortWithinPartitions(shard, slot)
+    dealt.write.mode("overwrite").partitionBy(shard).option("partitionOverwriteMode", "dynamic").option("compression", "zstd").parquet(path)
 
 
 def rewrite(spark, path: str, out: str, shards: int, slack: float = 0.05, text: str = "text") -> tuple[list[int], dict[tuple[int, int], int]]:
@@ -206,8 +208,10 @@ def rewrite(spark, path: str, out: str, shards: int, slack: float = 0.05, text:
     or get rows are read whole and written, under out; files of the others stay where they are and their rows keep their
     slots. The layout is then out/shard=N for the shards of `changed` and path/shard=N for the rest.
     """
-    docs = spark.read.parquet(path).drop("slot").withColumnRenamed("shard", "from")
-    sizes = {r["from"]: r["n"] for r in docs.groupBy("from").agg(F.sum(size_of(text)).alias("n")).collect()}
+    stored = spark.read.parquet(path).drop("slot")
+    was = fresh(stored, "from")
+    docs = stored.withColumnRenamed("shard", was)
+    sizes = {r[was]: r["n"] for r in docs.groupBy(was).agg(F.sum(size_of(text)).alias("n")).collect()}
     line = [sizes.get(i, 0) for i in range(1 + max(sizes, default=-1))]
     capacities = []
     for j, even in enumerate(even_capacities(sum(line), shards)):
@@ -217,8 +221,8 @@ def rewrite(spark, path: str, out: str, shards: int, slack: float = 0.05, text:
     changed = sorted({i for pair in flow if pair[0] != pair[1] for i in pair})
     room = [c if j in changed else 0 for j, c in enumerate(capacities)]
     if changed:
-        rows, _ = _resharded(docs.where(F.col("from").isin(changed)), F.col("from"), shards, text, True, room)
-        write_shards(rows.drop("from", "moved"), out)
+        rows, _, names = _resharded(docs.where(F.col(was).isin(changed)), F.col(was), shards, text, True, room)
+        write_shards(rows.drop(was, names["moved"]), out, shard=names["shard"], slot=names["slot"])
     return changed, {pair: n for pair, n in flow.items() if pair[0] != pair[1]}
 
 
