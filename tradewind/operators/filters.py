@@ -58,3 +58,42 @@ def across_games(asked: dict[str, str], games: list[str], known: set[str], game:
         hit = F.contains(F.lower(name), F.lit(text.lower()))
         out = out & (hit | F.contains(F.regexp_replace(F.lower(name), "[^a-z0-9]", ""), F.lit(bare)) if len(bare) >= 2 else hit)
     return out
+
+
+def every_term(text: str, fields: list[str], bare: str | None = None) -> Column:
+    """Rows of which each word of the text stands in one of the fields, case aside, or without spaces and signs in the `bare` field. No words, all rows."""
+    out = F.lit(True)
+    for term in text.lower().split():
+        hit = F.lit(False)
+        for f in fields:
+            hit = hit | F.coalesce(F.contains(F.lower(f), F.lit(term)), F.lit(False))
+        plain = "".join(c for c in term if c.isascii() and c.isalnum())
+        if bare and plain:
+            hit = hit | F.coalesce(F.contains(F.regexp_replace(F.lower(bare), "[^a-z0-9]", ""), F.lit(plain)), F.lit(False))
+        out = out & hit
+    return out
+
+
+def headline(conditions: tuple[str, ...] = ("NM", "LP"), guide: str = "guide_") -> Column:
+    """Offers (in_stock, seller, condition) that a headline price may come from: in stock, no price guide, in good or unstated condition."""
+    return F.col("in_stock") & ~F.col("seller").startswith(guide) & (F.col("condition").isNull() | F.col("condition").isin(*conditions))
+
+
+def market_listings(params: str, price: str = "price") -> Column:
+    """Listings joined with their products (status, quantity, condition, price, name, product_type, set_code): active ones with stock that the link asks for.
+
+    type, set and condition are lists; q stands in the name, the type or the set; min and max are in whole units, cents after a point.
+    """
+    given = {k: v[-1] for k, v in parse_qs(params).items()}
+    out = (F.col("status") == "ACTIVE") & (F.col("quantity") > 0)
+    for key, col in (("type", "product_type"), ("set", "set_code"), ("condition", "condition")):
+        if names := [x for x in given.get(key, "").split(",") if x]:
+            out = out & F.col(col).isin(names)
+    if given.get("q"):
+        out = out & (F.contains("name", F.lit(given["q"])) | F.contains("product_type", F.lit(given["q"])) | F.contains("set_code", F.lit(given["q"])))
+    for key, low in (("min", True), ("max", False)):
+        units, _, rest = given.get(key, "").partition(".")
+        if units.isdecimal() and (not rest or rest.isdecimal()):
+            bound = int(units) * 100 + int((rest + "00")[:2])
+            out = out & (F.col(price) >= bound if low else F.col(price) <= bound)
+    return out

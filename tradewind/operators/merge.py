@@ -68,3 +68,14 @@ def overwrite_table(fresh: DataFrame, path: str, least_share: float = 0.0) -> in
     fs.delete(place(path), True)
     fs.rename(place(beside), place(path))
     return rows
+
+
+def distinct_slugs(rows: DataFrame, key: str, slug: str, most: int = 130) -> DataFrame:
+    """rows, of one key each, with slugs that no two share: the smallest key keeps one, the others get `most` letters of it and a hash of their own key.
+
+    A row is better under an ugly address than lost to another's. Keys are counted per slug; only rows of shared ones are changed.
+    """
+    owner = rows.groupBy(slug).agg(F.min(key).alias("__owner"))
+    tail = F.lower(F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 36))
+    named = F.when(F.col(key) == F.col("__owner"), F.col(slug)).otherwise(F.concat(F.substring(slug, 1, most), F.lit("-"), tail))
+    return rows.join(owner, slug).withColumn(slug, named).select(rows.columns)

@@ -23,10 +23,14 @@ def drop_low_outliers(rows: DataFrame, by: list[str], share: float = LOW_SHARE)
     return judged.where(~F.coalesce(bad, F.lit(False))).select(rows.columns)
 
 
-def drop_high_outliers(rows: DataFrame, by: list[str], times: Column) -> DataFrame:
-    """Drops prices of more than `times` the in-stock median, where the group has LOW_LEAST or more."""
-    judged = with_median(rows, by, where=F.col("in_stock"))
-    bad = (F.col("n") >= LOW_LEAST) & (F.col("price") > F.col("mid") * times)
+def drop_high_outliers(rows: DataFrame, by: list[str], times: Column, of: Column | None = None, which: Column | None = None) -> DataFrame:
+    """Drops prices of more than `times` the in-stock median, where the group has LOW_LEAST or more.
+
+    The median is of the rows for which `of` holds (independent stores, say), and only rows for which `which` holds are judged; a null
+    `times` judges none.
+    """
+    judged = with_median(rows, by, where=F.col("in_stock") if of is None else F.col("in_stock") & of)
+    bad = (F.col("n") >= LOW_LEAST) & (F.col("price") > F.col("mid") * times) & (F.lit(True) if which is None else which)
     return judged.where(~F.coalesce(bad, F.lit(False))).select(rows.columns)
 
 

@@ -267,9 +267,9 @@ class Read:
             df, out = self._project(df, m, select, include)
             df = df.orderBy(*order) if order_by or skip else df
             return (df.offset(skip) if skip else df).select(*out)
-        # the joins of the projection keep no order: places are numbered within the page, which `take` bounds, and sorted last
-        page = df.orderBy(*order).offset(skip).limit(take)
-        page = page.withColumn("__at", F.row_number().over(Window.partitionBy().orderBy(*order)))
+        # The joins of the projection keep no order, and a second sort by the same columns is dropped by adaptive execution, which takes
+        # the page's order for the join's. So the rows of the page, one sorted partition, are numbered, and sorted by that at the end.
+        page = df.orderBy(*order).offset(skip).limit(take).withColumn("__at", F.monotonically_increasing_id())
         df, out = self._project(page, m, select, include)
         return df.orderBy("__at").select(*out)
 
