@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tradewind.functions import text as tx
 from tradewind.operators import rulebook
 from tradewind.plans.listings import BOOK
 
@@ -57,3 +58,11 @@ def test_counts_that_titles_state(spark):
     df = spark.createDataFrame([("6x", [6], []), ("x 6 boxes", [6], []), ("case of 10", [], [10]), ("10-box 2 bundles", [], [10, 2]), ("max 1x x1", [], []), ("", [], [])], "t string, times array<int>, named array<int>")
     for r in df.select("times", "named", "t", rulebook.stated_units(F.col("t")).alias("s")).collect():
         assert (r["t"], sorted(r["s"]["times"]), sorted(r["s"]["named"])) in [(r["t"], sorted(r["times"]), sorted(r["named"])), ("x 6 boxes", [6], [6])]
+
+
+def test_searches_and_names(spark):
+    one = lambda c, t: spark.createDataFrame([(t,)], "t string").select(c(F.col("t")).alias("r")).first()["r"]
+    ask = lambda t: one(lambda c: tx.rewritten_query(c, {"elite trainer box": "etb", "trainer box": "tb", "pokemon center": "pc"}, ("the", "of")), t)
+    assert ask("The Elite  Trainer-Box of Pokemon Center") == "etb pc" and ask("trainer box") == "tb" and ask("the OF") == "the of" and ask("") == "" and ask(None) is None
+    show = lambda t: one(lambda c: tx.title_cased(c, ("of", "the"), {"gx": "GX"}, r" \|.*$"), t)
+    assert show("the BOX of  ultra-rare gx of | Some Store") == "The Box of Ultra-Rare GX Of" and show("école ß") == "école ß" and show("") == "" and show(None) is None

@@ -85,3 +85,41 @@ def rule_cascade(c: Column, rules: list[tuple[str, str]]) -> Column:
     for pattern, name in rules:
         out = F.when(c.rlike(pattern), name) if out is None else out.when(c.rlike(pattern), name)
     return out
+
+
+def rewritten_query(c: Column, phrases: dict[str, str], stop: tuple[str, ...]) -> Column:
+    """The words of a search as it is run: runs of letters and digits in lower case, phrases replaced (longest first), stop words dropped.
+
+    A search of stop words only keeps them. Phrases are whole words; what replaces one is not looked at again by a shorter one that it
+    does not hold.
+    """
+    out = F.concat(F.lit(" "), F.array_join(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != ""), " "), F.lit(" "))
+    for phrase, new in sorted(phrases.items(), key=lambda x: (-len(x[0].split()), -len(x[0]), x[0])):
+        out = F.replace(out, F.lit(f" {phrase} "), F.lit(f" {new} "))
+    words = F.filter(F.split(out, " "), lambda w: w != "")
+    kept = F.filter(words, lambda w: ~w.isin(*stop))
+    return F.array_join(F.when(F.size(kept) > 0, kept).otherwise(words), " ")
+
+
+def title_cased(c: Column, small: tuple[str, ...], spelled: dict[str, str], filler: str | None = None) -> Column:
+    """A name as it is shown: filler stripped, white space collapsed, words capitalized, also behind a hyphen.
+
+    Small words stay small but for the first and the last; words of `spelled`, in lower case there, are written as it says. Only a-z is
+    raised, so letters whose capital is two letters stay what they are.
+    """
+    bare = F.regexp_replace(c, filler, " ") if filler else c
+    words = F.filter(F.split(F.trim(F.regexp_replace(bare, "\\s+", " ")), " "), lambda w: w != "")
+    up = lambda p: F.when(p.rlike("^[a-z]"), F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1_000_000))).otherwise(p)
+
+    def shown(w: Column, i: Column, n: Column) -> Column:
+        low = F.lower(w)
+        plain = F.array_join(F.transform(F.split(low, "-"), up), "-")
+        inner = (i > 0) & (i < n - 1) & low.isin(*small)
+        out = F.when(inner, low).otherwise(plain)
+        for word, form in spelled.items():
+            out = F.when(low == word, F.lit(form)).otherwise(out)
+        return out
+
+    # the words are bound once, or they would be split anew for each of them
+    every = F.transform(F.array(words), lambda ws: F.transform(ws, lambda w, i: shown(w, i, F.size(ws))))
+    return F.array_join(every[0], " ")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tradewind.functions import text as tx
 from tradewind.operators import rulebook
 from tradewind.operators.identity import Gate
 from tradewind.operators.rulebook import Book, KindRule
@@ -81,3 +82,31 @@ def titles_by_rulebook(v):
 @query(f"{MADE},\n{FOUND}\nSELECT identity, count(*) AS n, min(id) AS first FROM found WHERE identity IS NOT NULL GROUP BY 1")
 def titles_compared(v):
     return rulebook.compared(rulebook.identified(*made(v), BOOK))
+
+
+PHRASES, STOP = {"of the": "vonder", "in": "inside", "the and": "both", "that the": "thatthe"}, ("the", "a", "and", "of", "le", "la", "de", "der", "die")
+
+
+def _replaced() -> str:
+    out = "' ' || array_to_string(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> ''), ' ') || ' '"
+    for phrase in ("that the", "the and", "of the", "in"):
+        out = f"replace({out}, ' {phrase} ', ' {PHRASES[phrase]} ')"
+    return out
+
+
+@query(f"""r AS (SELECT doc_id, list_filter(string_split({_replaced()}, ' '), lambda x: x <> '') AS w FROM documents),
+k AS (SELECT doc_id, w, list_filter(w, lambda x: x NOT IN {STOP}) AS kept FROM r)
+SELECT doc_id, sha256(array_to_string(CASE WHEN len(kept) > 0 THEN kept ELSE w END, ' ')) AS digest FROM k""")
+def searches_rewritten(v):
+    """Whole texts taken as searches: phrases replaced, stop words dropped."""
+    return v.raw("documents").select("doc_id", F.sha2(tx.rewritten_query(F.col("text"), PHRASES, STOP), 256).alias("digest"))
+
+
+@query(r"""l AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(regexp_replace(split_part(text, chr(10), 1), '\| | \|.*$', ' ', 'g'), '[ 	
+]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM documents)
+SELECT doc_id, array_to_string(list_transform(w, lambda x, i: CASE WHEN lower(x) = 'ip' THEN 'IP' WHEN lower(x) = 'tion' THEN 'tiON' WHEN i > 1 AND i < len(w) AND lower(x) IN ('the', 'of', 'and', 'de', 'la', 'le', 'der') THEN lower(x)
+  ELSE array_to_string(list_transform(string_split(lower(x), '-'), lambda p: CASE WHEN regexp_matches(p, '^[a-z]') THEN upper(p[1]) || p[2:] ELSE p END), '-') END), ' ') AS shown FROM l""")
+def titles_cased(v):
+    """The first line of each text as a name on a page."""
+    first = F.split_part(F.col("text"), F.lit("\n"), F.lit(1))
+    return v.raw("documents").select("doc_id", tx.title_cased(first, ("the", "of", "and", "de", "la", "le", "der"), {"ip": "IP", "tion": "tiON"}, r"\| | \|.*$").alias("shown"))
