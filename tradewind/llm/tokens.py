@@ -22,6 +22,8 @@ KNOWN_PIECES = 500_000
 CALL_ROWS = 500
 #: UTF-8 bytes of text that one file holds, about.
 FILE_BYTES = 64 << 20
+#: Signs that end a piece as a token of their own, whatever stands before: behind a letter the split of byte-level BPE starts anew at them.
+TAILS = ".,;:!?"
 #: A white-space character that is neither a space nor a line feed, or nothing but a space.
 ODD_SPACE = re.compile(r"[^\S \n]|^ $")
 
@@ -34,8 +36,8 @@ class Encoder:
     Byte-level BPE first splits a text and never merges across the split. A single space before a
     word goes with the word, and a single line feed between words stands alone, so a text whose white
     space is of these two kinds only is the concatenation of its pieces at them. Each distinct piece
-    is encoded once by the tokenizer, many in one call with line feeds between. Any other text, and
-    one with a special token's sign, is encoded whole.
+    is encoded once by the tokenizer, many in one call with line feeds between; a sign behind a letter is split off first. Any
+    other text, and one with a special token's sign, is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -44,6 +46,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.line_feed = self._whole("\n")
         self.known = {"": b"", "\n": self.line_feed}
+        self.tail = {c: self._whole(c) for c in TAILS}
         self.met = np.zeros(1 << 24, dtype=bool)
 
     def _ids(self, text: str) -> np.ndarray:
@@ -77,12 +80,17 @@ class Encoder:
             else:
                 split.append(text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0"))
         new = list(set().union(*filter(None, split)).difference(known))
-        odd = {p for p in new if ODD_SPACE.search(p)}
+        odd = {p for p in new if ODD_SPACE.search(p)} if " " in new or ODD_SPACE.search("".join(new)) else ()
         if odd:
             split = [p if p is None or odd.isdisjoint(p) else None for p in split]
             new = [p for p in new if p not in odd]
-        learned = self._learn(new)
-        known.update(learned)
+        # a word with a sign behind it is the word's ids and the sign's
+        tails = [p for p in new if p[-1] in TAILS and "A" <= p[-2:-1] <= "z" and p[-2].isalpha()]
+        bases = {p[:-1] for p in tails}
+        new = list(bases.union(new).difference(known, tails))
+        known.update(self._learn(new))
+        known.update([(p, known[p[:-1]] + self.tail[p[-1]]) for p in tails])
+        new += tails
         out = [self._whole(t) + end if p is None else b"".join(map(known.__getitem__, p)) + end for t, p in zip(texts, split, strict=True)]
         self._forget(new)
         return out
