@@ -98,3 +98,28 @@ def weekly_moves(values: DataFrame, key: list[str], value: str = "price") -> Dat
     lagged = values.withColumn("__day", F.lag("sunday").over(w)).withColumn("before", F.lag(value).over(w))
     whole = (F.datediff("sunday", "__day") == 7) & F.col("before").isNotNull() & F.col(value).isNotNull()
     return lagged.where(whole).select(*key, "sunday", "before", F.col(value).alias("after"))
+
+
+def held_spans(points: DataFrame, key: list[str], day: str = "day") -> DataFrame:
+    """points plus `until`, the day of the next point of the series: a point holds from its day to the day before that one; null for the last."""
+    return points.withColumn("until", F.lead(day).over(Window.partitionBy(*key).orderBy(day)))
+
+
+def typical(points: DataFrame, key: list[str], last: Column, days: int, least: int, day: str = "day", value: str = "price") -> DataFrame:
+    """(key, typical, days): the median of a series' daily values over the last `days` up to `last`, rounded half up, and the days with a value.
+
+    Days without a value (null) are left out; series with fewer than `least` of them have no row. Each point is weighed by the days
+    for which it holds, so the days themselves are never written out.
+    """
+    inside = held_spans(points.where(F.col(day) <= last), key, day).withColumn("__from", F.greatest(F.col(day), F.date_sub(last, days - 1)))
+    held = inside.withColumn("__n", F.datediff(F.coalesce("until", F.date_add(last, 1)), F.col("__from"))).where((F.col("__n") > 0) & F.col(value).isNotNull())
+    found = held.groupBy(*key).agg(F.percentile(value, 0.5, F.col("__n")).alias("__t"), F.sum("__n").alias("days")).where(F.col("days") >= least)
+    return found.select(*key, F.floor(F.col("__t") + 0.5).cast("long").alias("typical"), "days")
+
+
+def under_typical(points: DataFrame, key: list[str], last: Column, days: int = 30, least: int = 7, percent: int = 10) -> DataFrame:
+    """(key, price, typical, percent) of series in stock on `last` at a price that many whole percent under their typical one, yet not under its half."""
+    now = as_of(points, key, last).where("price is not null and stores > 0").select(*key, "price")
+    under = F.floor((F.col("typical") - F.col("price")) / F.col("typical") * 100 + 0.5).cast("long")
+    both = now.join(typical(points, key, last, days, least), key).select(*key, "price", "typical", under.alias("percent"))
+    return both.where((F.col("percent") >= percent) & (F.col("price") * 2 >= F.col("typical")))
