@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tradewind.functions.calc import js_months_back
-from tradewind.operators import history, shelves
+from tradewind.operators import history, shelves, typeahead
 from tradewind.plans.holdings import KEY, STOCKED, stocked
 from tradewind.plans.registry import query
 
@@ -63,3 +63,24 @@ SELECT market, code, set_turn, set_stores, item, row_number() OVER (PARTITION BY
 def older_sets_in_stock(v):
     """Sets released eighteen months ago or more of which stores still have something, with their items in order."""
     return shelves.older_by_set(cards(v), sets(v), "market", js_months_back(last(), 18), KINDS)
+
+
+TYPED = """CASE c_custkey % 6 WHEN 0 THEN substr(p_name, 2, 5) WHEN 1 THEN upper(p_brand) WHEN 2 THEN ' ' || (c_custkey % 100) WHEN 3 THEN '#!' WHEN 4 THEN substr(p_type, 1, 2) ELSE replace(p_name, ' ', '-') END"""
+
+
+@query(f"""searches AS (SELECT c_custkey AS search, trim({TYPED}) AS q FROM customer JOIN part ON p_partkey = c_custkey),
+asked AS (SELECT search, q, regexp_replace(lower(q), '[^a-z0-9]', '', 'g') AS plain FROM searches WHERE length(q) >= 2),
+c AS (SELECT CAST(product_id AS VARCHAR) AS id, name || ' ' || set_code AS name, CAST(product_id AS VARCHAR) AS number, lowest AS price FROM card WHERE market = 'EUROPE'),
+g AS (SELECT product_type || '|' || set_code AS id, set_code || ' ' || product_type AS name, product_type AS label, set_code AS code, min(id) AS place FROM product GROUP BY 1, 2, 3, 4),
+a AS (SELECT search, 'card' AS kind, row_number() OVER (PARTITION BY search ORDER BY price DESC NULLS LAST, name, id) AS turn, id FROM asked JOIN c ON contains(regexp_replace(lower(name), '[^a-z0-9]', '', 'g'), plain) OR contains(number, q)),
+b AS (SELECT search, 'group' AS kind, row_number() OVER (PARTITION BY search ORDER BY place, id) AS turn, id FROM asked JOIN g ON contains(lower(name), lower(q)) OR contains(lower(label), lower(q)) OR contains(lower(code), lower(q)))
+SELECT * FROM a WHERE turn <= 8 UNION ALL SELECT * FROM b WHERE turn <= 4""")
+def searches_answered(v):
+    """What each customer types, answered with the first eight products of a market and the first four kinds of a brand."""
+    typed = v.raw("customer").select("c_custkey").join(v.raw("part").select("p_partkey", "p_name", "p_brand", "p_type"), F.col("p_partkey") == F.col("c_custkey"))
+    searches = typed.select(F.col("c_custkey").alias("search"), F.expr(TYPED).alias("text"))
+    number = F.col("product_id").cast("string")
+    items = v.card.where("market = 'EUROPE'").select(number.alias("id"), F.concat_ws(" ", "name", "set_code").alias("name"), number.alias("number"), F.col("lowest").alias("price"))
+    kinds = v.product.groupBy("product_type", "set_code").agg(F.min("id").alias("place"))
+    kinds = kinds.select(F.concat_ws("|", "product_type", "set_code").alias("id"), F.concat_ws(" ", "set_code", "product_type").alias("name"), F.col("product_type").alias("label"), F.col("set_code").alias("code"), "place")
+    return typeahead.answered(searches, items, kinds)
