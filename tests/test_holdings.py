@@ -1,13 +1,16 @@
 """Worth of holdings, typical prices and notices of stock against plain Python over every day."""
 
 import datetime
+import os
 import random
+import time
 from statistics import median
 
 import pytest
 from pyspark.sql import functions as F
 
 from tradewind.operators import history, holdings
+from tradewind.streaming import watches
 
 D0 = datetime.date(2024, 1, 1)
 LOTS, POINTS, LOOKS = "owner string, place string, item int, day date, qty long, cents long", "place string, item int, day date, price long, stores long", "owner string, place string, day date"
@@ -125,3 +128,28 @@ def test_empty_tables_and_nulls(spark):
     watchers = spark.createDataFrame([("x", "A", 1, on(4)), ("x", "A", 1, on(2)), (None, "A", 1, on(9))], "owner string, place string, item int, since date")
     told = {r["owner"]: (r["day"], r["price"], r["rearmed"]) for r in holdings.notices(priced, watchers, "owner", KEY).collect()}
     assert told == {"x": (on(2), 10, None), None: (on(9), 10, None)}
+
+
+def test_notices_and_their_stream_tell_alike(spark, tmp_path):
+    rng = random.Random(3)
+    readings = [("A", i, d, rng.choice([0, 0, 2, 5]), rng.randrange(100, 900)) for d in range(24) for i in range(5)]
+    watch = [(w, "A", rng.randrange(6), rng.randrange(20)) for w in "pqrs" for _ in range(4)]
+    watchers = spark.createDataFrame([(w, a, i, on(d)) for w, a, i, d in watch + watch[:2]], "watcher string, place string, item long, since date")
+    schema = "place string, item long, day date, stores long, price long"
+    daily = spark.createDataFrame([(a, i, on(d), n, c if n else None) for a, i, d, n, c in readings], schema)
+    want = {tuple(r) for r in holdings.notices(history.change_points(daily, KEY), watchers, "watcher", KEY).drop("rearmed").collect()}
+    source, at = str(tmp_path / "in"), time.time() - 1000
+    for first in range(0, 24, 6):
+        # the last day of a part comes again with the next: late by then
+        part = daily.where(F.col("day").between(on(max(0, first - 1)), on(first + 5)))
+        part.coalesce(1).write.mode("append").json(source)
+        for name in os.listdir(source):
+            path = os.path.join(source, name)
+            if os.stat(path).st_mtime > time.time() - 500:
+                os.utime(path, (at + first, at + first))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.json").json(source)
+    run = watches.notices(stream, watchers).writeStream.format("memory").queryName("told").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    run.awaitTermination(240)
+    told = [tuple(r) for r in spark.table("told").collect()]
+    assert run.exception() is None and len(run.recentProgress) >= 4
+    assert len(told) == len(set(told)) and set(told) == want and len(want) > 15
