@@ -60,6 +60,18 @@ def gtin_ok(c: Column) -> Column:
     return F.when(c.rlike("^(?:[0-9]{8}|[0-9]{12,14})$"), total % 10 == 0).otherwise(F.lit(False))
 
 
+def gtin(c: Column) -> Column:
+    """The digits of a barcode whose check digit is right, null for others and for zeros alone; 11 digits get the zero back that a table lost."""
+    digits = F.regexp_replace(c, "[^0-9]", "")
+    whole = F.when(F.length(digits) == 11, F.concat(F.lit("0"), digits)).otherwise(digits)
+    return F.when(~whole.rlike("^0*$") & gtin_ok(whole), whole)
+
+
+def gtin_label(c: Column) -> Column:
+    """How a box prints it."""
+    return F.when(F.length(c) == 12, "UPC").when(F.length(c) == 13, "EAN").when(c.isNotNull(), "GTIN")
+
+
 def _fold(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for part in texts:
         yield part.map(lambda t: None if t is None else "".join(ch for ch in unicodedata.normalize("NFKD", t) if not unicodedata.combining(ch)).lower())

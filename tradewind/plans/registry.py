@@ -29,7 +29,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def _load() -> None:
-    from tradewind.plans import boards, catalogue, cleaning, discovery, holdings, listings, loaders, market, posts, reads, selling, series, shelf, shelves, texts, titles  # noqa: F401
+    from tradewind.plans import boards, catalogue, cleaning, discovery, facts, holdings, listings, loaders, market, posts, reads, selling, series, shelf, shelves, texts, titles  # noqa: F401
 
 
 def queries() -> dict:
