@@ -122,13 +122,16 @@ def title_signatures(v):
 @query(f"""{TITLES},
 w AS (SELECT id, product_type, set_code, array_to_string(list_sort(list_distinct(list_filter(string_split(name, ' '), lambda x: x NOT IN ('small', 'large', 'red', 'blue')))), ' ') AS words FROM product),
 g AS (SELECT *, min(id) OVER (PARTITION BY product_type, set_code, words) AS like_id, count(*) OVER (PARTITION BY product_type, set_code, words) AS n FROM w)
-SELECT id, like_id, n FROM g WHERE n > 1""")
+SELECT id, like_id, n FROM g""")
 def alike_but_for_noise(v):
-    """Products of one type and set whose names differ in noise words only: each with the first of its group and the group's size."""
+    """Every product with its class, the first of those of its type and set whose names differ from its own in noise words only, and the class's size.
+
+    A product has n - 1 links: all others of its class, and none beyond it.
+    """
     noise = F.array(*map(F.lit, ("small", "large", "red", "blue")))
     words = F.array_join(F.array_sort(F.array_distinct(F.array_except(F.split("name", " "), noise))), " ")
     rows = v.product.select("id", "product_type", "set_code", words.alias("words"))
-    groups = rows.groupBy("product_type", "set_code", "words").agg(F.min("id").alias("like_id"), F.count("*").alias("n")).where("n > 1")
+    groups = rows.groupBy("product_type", "set_code", "words").agg(F.min("id").alias("like_id"), F.count("*").alias("n"))
     return rows.join(groups, ["product_type", "set_code", "words"]).select("id", "like_id", "n")
 
 
