@@ -37,3 +37,13 @@ def test_every_product_has_a_class(spark):
     for r in found:
         sizes[r["like_id"]] = sizes.get(r["like_id"], 0) + 1
     assert all(sizes[r["like_id"]] == r["n"] and r["like_id"] <= r["id"] for r in found)
+
+
+def test_no_line_meets_all_items_of_its_number_or_name(spark):
+    n = 600
+    lines = spark.range(n).selectExpr("id as line", "if(id % 2 = 0, 7L, 8L) as number", "cast(null as string) as set_code", "if(id % 2 = 0, cast(null as string), 'blue ring') as name", "id % 3 = 0 as special")
+    items = spark.range(n).selectExpr("id as item", "7L as number", "'a' as set_code", "'blue ring' as name", "id % 5 = 0 as special", "if(id = 3, cast(null as long), 1000 - id) as price")
+    found = resolve.resolved(lines, items)
+    assert most_joined(found) <= 4 * n
+    got = {r["line"]: (r["item"], r["how"], r["choices"]) for r in found.collect()}
+    assert got[0] == (599, "number", n) and got[1] == (599, "name", n) and got[3] == (595, "name", n)

@@ -32,28 +32,33 @@ def resolved(lines: DataFrame, items: DataFrame) -> DataFrame:
     then one as special as the line says, then the cheapest; `part`, where the line's name stands within an item's. Prices that are
     null sort last and equal ones by item. An ordinary line never gets a special item by name or part while an ordinary one fits.
     choices counts the items of the pass that settled it; a line that none settles has how `none` and no item.
+
+    Items that a line cannot tell apart are cut to their first before lines meet them, so no line is joined with all items of its number
+    or name.
     """
-    order = lambda *first: F.min(F.struct(*first, F.col("price").isNull().alias("unpriced"), "price", "item"))
+    order = F.min(F.struct(F.col("price").isNull().alias("unpriced"), "price", "item")).alias("b")
     item = items.select("item", F.col("number").alias("i_number"), F.col("set_code").alias("i_set"), F.col("name").alias("i_name"), F.col("special").alias("i_special"), "price")
-
-    def pick(found: DataFrame, how: str, *first: Column) -> DataFrame:
-        got = found.groupBy("line").agg(order(*first).alias("b"), F.count("*").alias("choices"))
-        return got.select("line", F.col("b.item").alias("item"), F.lit(how).alias("how"), "choices")
-
-    in_set = F.col("set_code").isNull() | (F.col("set_code") == F.col("i_set"))
     unlike = (F.col("special") != F.col("i_special")).alias("unlike")
-    numbered = lines.where("number is not null").join(item, F.col("number") == F.col("i_number")).where(in_set)
-    first = pick(numbered, "number")
 
-    left = lines.where("name is not null").join(first, "line", "left_anti")
-    named = left.join(item, F.col("name") == F.col("i_name"))
-    other_number = F.coalesce(F.col("number") != F.col("i_number"), F.lit(True)).alias("other_number")
-    second = pick(named, "name", other_number, unlike)
+    asks = lines.where("number is not null and set_code is null").select("line", "number")
+    by_number = item.groupBy("i_number").agg(order, F.count("*").alias("choices"))
+    alone = asks.join(by_number, F.col("number") == F.col("i_number"))
+    asks = lines.where("number is not null and set_code is not null").select("line", "number", "set_code")
+    by_set = item.groupBy("i_number", "i_set").agg(order, F.count("*").alias("choices"))
+    in_set = asks.join(by_set, (F.col("number") == F.col("i_number")) & (F.col("set_code") == F.col("i_set")))
+    found = alone.select("line", "b", "choices").unionAll(in_set.select("line", "b", "choices")).groupBy("line").agg(F.min("b").alias("b"), F.sum("choices").alias("choices"))
+    first = found.select("line", F.col("b.item").alias("item"), F.lit("number").alias("how"), "choices")
+
+    left = lines.where("name is not null").join(first, "line", "left_anti").select("line", "number", "name", "special")
+    by_name = item.groupBy("i_name", "i_special").agg(order, F.count("*").alias("n"))
+    named = left.join(by_name, F.col("name") == F.col("i_name")).groupBy("line").agg(F.min(F.struct(unlike, "b")).alias("any"), F.sum("n").alias("choices"))
+    both = item.groupBy("i_name", "i_number", "i_special").agg(order)
+    numbered = left.join(both, (F.col("name") == F.col("i_name")) & (F.col("number") == F.col("i_number"))).groupBy("line").agg(F.min(F.struct(unlike, "b")).alias("own"))
+    second = named.join(numbered, "line", "left").select("line", F.coalesce("own", "any")["b"]["item"].alias("item"), F.lit("name").alias("how"), "choices")
 
     left = left.join(second, "line", "left_anti")
     pairs = containing(left.select(F.col("name").alias("needle")).distinct(), items.select("name").distinct())
-    # every line of a needle gets the same item but for what it says of special ones, so the items are cut to one of each kind first
-    best = pairs.join(item, F.col("name") == F.col("i_name")).groupBy("needle", F.col("i_special")).agg(order().alias("b"), F.count("*").alias("n"))
+    best = pairs.join(by_name, F.col("name") == F.col("i_name")).groupBy("needle", "i_special").agg(F.min("b").alias("b"), F.sum("n").alias("n"))
     best = best.withColumn("choices", F.sum("n").over(Window.partitionBy("needle")))
     part = left.join(best, F.col("name") == F.col("needle")).groupBy("line").agg(F.min(F.struct(unlike, "b")).alias("w"), F.max("choices").alias("choices"))
     third = part.select("line", F.col("w.b.item").alias("item"), F.lit("part").alias("how"), "choices")
