@@ -47,3 +47,15 @@ def test_no_line_meets_all_items_of_its_number_or_name(spark):
     assert most_joined(found) <= 4 * n
     got = {r["line"]: (r["item"], r["how"], r["choices"]) for r in found.collect()}
     assert got[0] == (599, "number", n) and got[1] == (599, "name", n) and got[3] == (595, "name", n)
+
+
+def test_sequences_of_texts_are_never_broadcast(spark, monkeypatch):
+    texts = spark.range(5).selectExpr("id", "concat('a gold box of set ', id) as t")
+    sets = spark.range(200).selectExpr("concat('s', id) as phrase_id", "concat('set ', id) as phrase")
+    found = phrases.phrase_hits(texts, sets, "t", ["id"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan
+    assert sorted((r["id"], r["phrase_id"], r["at"]) for r in found.collect()) == [(i, f"s{i}", 4) for i in range(5)]
+    monkeypatch.setattr(phrases, "BROADCAST_PHRASES", 10)
+    found = phrases.phrase_hits(texts, sets, "t", "id")
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 5

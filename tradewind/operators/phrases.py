@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Phrases of more words than this are refused: each length that occurs costs one row for every word of a text.
 MOST_WORDS = 12
+#: An index of at most so many phrases and UTF-8 bytes is broadcast; larger ones are joined by a shuffle of both sides.
+BROADCAST_PHRASES, BROADCAST_BYTES = 100_000, 8 << 20
 
 
 def phrase_words(text: Column) -> Column:
@@ -19,23 +21,29 @@ def _sequences(n: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.struct(i.alias("at"), F.array_join(F.slice("w", i + 1, n), " ").alias("gram")))
 
 
-def phrase_hits(texts: DataFrame, phrases: DataFrame, text: str, key: str) -> DataFrame:
+def phrase_hits(texts: DataFrame, phrases: DataFrame, text: str, key: str | list[str]) -> DataFrame:
     """(key, phrase_id, at, n_words): every place, as a word number from 0, where a phrase stands as whole words.
 
+    key is a column of texts, or several that go with each place.
+
     phrases has (phrase_id, phrase). They are indexed by their words as one string, and a text sends its word sequences of the
     lengths that phrases have, so both meet in one equi-join; no text is compared with a phrase that it does not hold.
     """
     index = phrases.select("phrase_id", phrase_words(F.col("phrase")).alias("w")).where(F.size("w") > 0)
     index = index.select("phrase_id", F.array_join("w", " ").alias("gram"), F.size("w").alias("n_words"))
-    lengths = sorted(r["n_words"] for r in index.select("n_words").distinct().limit(MOST_WORDS + 1).collect())
+    sizes = index.groupBy("n_words").agg(F.count("*").alias("n"), F.sum(F.octet_length("gram")).alias("bytes")).orderBy(F.desc("n_words")).limit(MOST_WORDS + 1).collect()
+    lengths = sorted(r["n_words"] for r in sizes)
     if lengths and lengths[-1] > MOST_WORDS:
         raise ValueError(f"a phrase has {lengths[-1]} words, at most {MOST_WORDS} are taken")
-    rows = texts.select(key, phrase_words(F.col(text)).alias("w"))
+    keys = [key] if isinstance(key, str) else key
+    rows = texts.select(*keys, phrase_words(F.col(text)).alias("w"))
     grams = [_sequences(n) for n in lengths]
     every = F.flatten(F.array(*[F.when(F.size("w") >= n, g).otherwise(F.array().cast("array<struct<at:int,gram:string>>")) for n, g in zip(lengths, grams)]))
     if not lengths:
-        return rows.limit(0).select(key, F.lit(None).cast(phrases.schema["phrase_id"].dataType).alias("phrase_id"), F.lit(0).alias("at"), F.lit(0).alias("n_words"))
-    return rows.select(key, F.inline(every)).join(index, "gram").select(key, "phrase_id", "at", "n_words")
+        return rows.limit(0).select(*keys, F.lit(None).cast(phrases.schema["phrase_id"].dataType).alias("phrase_id"), F.lit(0).alias("at"), F.lit(0).alias("n_words"))
+    # a plan's guess at the size of sequences is far too low, so without a hint they may be what is broadcast
+    small = sum(r["n"] for r in sizes) <= BROADCAST_PHRASES and sum(r["bytes"] for r in sizes) <= BROADCAST_BYTES
+    return rows.select(*keys, F.inline(every)).join(index.hint("broadcast" if small else "merge"), "gram").select(*keys, "phrase_id", "at", "n_words")
 
 
 def longest_phrase(texts: DataFrame, phrases: DataFrame, text: str, key: str) -> DataFrame:

@@ -80,8 +80,8 @@ def named_sets(titles: DataFrame, sets: DataFrame, key: str) -> DataFrame:
     """
     spelled = sets.select("language", "set_code", "generic", F.explode(F.array("set_name", "printed")).alias("phrase")).where("phrase is not null")
     spelled = spelled.select(F.concat_ws("|", "language", "set_code", "phrase").alias("phrase_id"), "language", "set_code", "generic", "phrase")
-    hits = phrase_hits(titles, spelled.select("phrase_id", "phrase"), "low", key).join(spelled, "phrase_id")
-    hits = hits.join(titles.select(F.col(key).alias("__k"), F.col("language").alias("__l")), (F.col(key) == F.col("__k")) & (F.col("language") == F.col("__l")))
+    places = phrase_hits(titles.withColumnRenamed("language", "__l"), spelled.select("phrase_id", "phrase"), "low", [key, "__l"])
+    hits = places.join(spelled, "phrase_id").where(F.col("language") == F.col("__l"))
     wide = hits.select(key, "set_code", "generic", "at", (F.col("at") + F.col("n_words")).alias("end"))
     # a place is inside another one if that begins no later and ends no earlier, and is longer
     places = F.collect_set(F.struct("at", "end", "set_code", "generic"))
@@ -112,7 +112,8 @@ def identified(titles: DataFrame, sets: DataFrame, book: Book, title: str = "tit
     rows = rows.withColumn("language", F.coalesce(F.get("marks", F.lit(0)), F.lit(book.home)))
     found = named_sets(rows.select(key, "low", "language"), sets, key)
     names = sets.groupBy("language", "set_code").agg(F.flatten(F.collect_list(F.array(F.lower("set_name"), F.lower(F.coalesce("printed", F.lit("")))))).alias("spelled"))
-    rows = rows.join(found, key, "left").join(names, ["language", "set_code"], "left")
+    # both sides grow with the titles
+    rows = rows.join(found.hint("merge"), key, "left").join(names, ["language", "set_code"], "left")
     kind_words = F.split(F.regexp_replace("low", "[^a-z]+", " "), " ")
     of_kind = F.filter(kind_words, lambda w: w.rlike("^(?:booster|boxe?s?|packs?|cases?|displays?|bundles?|tins?|collections?|of|and|the)$"))
     set_words = F.flatten(F.transform(F.coalesce("spelled", F.array().cast("array<string>")), lambda x: F.split(x, " ")))
