@@ -59,3 +59,10 @@ def test_sequences_of_texts_are_never_broadcast(spark, monkeypatch):
     monkeypatch.setattr(phrases, "BROADCAST_PHRASES", 10)
     found = phrases.phrase_hits(texts, sets, "t", "id")
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 5
+
+
+def test_a_printed_code_is_computed_once(spark):
+    rows = spark.createDataFrame([("03600029145",), ("036000291452",), ("036000291453",), (None,), ("96385074",)], "c string")
+    found = rows.select(tx.gtin(F.concat(F.col("c"), F.lit("MARK"))).alias("g"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MARK") == 1
+    assert [r["g"] for r in found.collect()] == [None, "036000291452", None, None, "96385074"]

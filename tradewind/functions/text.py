@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -52,19 +52,22 @@ def money_cents(c: Column, low: int = 1, high: int = 100_000_000) -> Column:
     return F.when((found >= low) & (found <= high), found)
 
 
+def _once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c) with c computed once a row, however often it stands in what `use` returns."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def gtin_ok(c: Column) -> Column:
     """The check digit of an 8, 12, 13 or 14 digit number."""
-    padded = F.lpad(c, 14, "0")
-    digits = F.transform(F.sequence(F.lit(1), F.lit(14)), lambda i: F.substring(padded, i, F.lit(1)).cast("int"))
-    total = F.aggregate(F.zip_with(digits, F.array(*[F.lit(3 if i % 2 == 0 else 1) for i in range(14)]), lambda d, w: d * w), F.lit(0), lambda a, x: a + x)
-    return F.when(c.rlike("^(?:[0-9]{8}|[0-9]{12,14})$"), total % 10 == 0).otherwise(F.lit(False))
+    total = lambda p: sum((F.substring(p, i + 1, 1).cast("int") * (1 if i % 2 else 3) for i in range(14)), F.lit(0))
+    right = lambda w: F.when(w.rlike("^(?:[0-9]{8}|[0-9]{12,14})$"), _once(F.lpad(w, 14, "0"), lambda p: total(p) % 10 == 0)).otherwise(F.lit(False))
+    return _once(c, right)
 
 
 def gtin(c: Column) -> Column:
     """The digits of a barcode whose check digit is right, null for others and for zeros alone; 11 digits get the zero back that a table lost."""
-    digits = F.regexp_replace(c, "[^0-9]", "")
-    whole = F.when(F.length(digits) == 11, F.concat(F.lit("0"), digits)).otherwise(digits)
-    return F.when(~whole.rlike("^0*$") & gtin_ok(whole), whole)
+    whole = _once(F.regexp_replace(c, "[^0-9]", ""), lambda d: F.when(F.length(d) == 11, F.concat(F.lit("0"), d)).otherwise(d))
+    return _once(whole, lambda w: F.when(~w.rlike("^0*$") & gtin_ok(w), w))
 
 
 def gtin_label(c: Column) -> Column:
