@@ -66,3 +66,23 @@ def test_a_printed_code_is_computed_once(spark):
     found = rows.select(tx.gtin(F.concat(F.col("c"), F.lit("MARK"))).alias("g"))
     assert found._jdf.queryExecution().optimizedPlan().toString().count("MARK") == 1
     assert [r["g"] for r in found.collect()] == [None, "036000291452", None, None, "96385074"]
+
+
+def test_alternatives_meet_a_short_list(spark, tmp_path):
+    for name in ("region", "nation"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    europe = spark.read.parquet(f"{SF}/region.parquet").where("r_name = 'EUROPE'").join(spark.read.parquet(f"{SF}/nation.parquet"), F.col("r_regionkey") == F.col("n_regionkey")).first()["n_nationkey"]
+    spark.range(1).selectExpr("id as s_suppkey", f"{europe}L as s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    part = spark.range(4000).selectExpr("id as p_partkey", "'x' as p_name", "'Brand#1' as p_brand", "if(id % 3 = 0, 'SMALL', 'LARGE') as p_type", "1 as p_size", "1.0D as p_retailprice")
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    line = spark.range(4000).selectExpr("id as l_partkey", "0L as l_suppkey", "100.0D + id as l_extendedprice", "1.0D as l_quantity", "'O' as l_linestatus", "timestamp'1998-01-01 00:00:00' as l_shipdate")
+    line.write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = registry.queries()["alternatives"](spark, str(tmp_path))
+    assert most_joined(found) <= 4000
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["id"], []).append((r["place"], r["product_id"], r["pass"]))
+    kind = lambda i: i % 3 == 0
+    assert len(got) == len(range(5, 4000, 97))
+    for i, rows in got.items():
+        assert [p for _, p, _ in sorted(rows)] == [j for j in range(4000) if kind(j) == kind(i) and j != i][:4] and {r[2] for r in rows} == {1}
