@@ -86,3 +86,22 @@ def test_alternatives_meet_a_short_list(spark, tmp_path):
     assert len(got) == len(range(5, 4000, 97))
     for i, rows in got.items():
         assert [p for _, p, _ in sorted(rows)] == [j for j in range(4000) if kind(j) == kind(i) and j != i][:4] and {r[2] for r in rows} == {1}
+
+
+def walked(rng, days):
+    """(k, s, day, price): series of points with gaps and prices that are not known, of two kinds."""
+    out = []
+    for s in range(30):
+        for d in sorted(rng.sample(range(days), rng.randint(1, 9))):
+            out.append(("ab"[s % 2], s, datetime.date(2024, 1, 1) + datetime.timedelta(d), rng.choice([None, 5, 5, 7, 9])))
+    return out
+
+
+def test_weeks_are_counted_without_being_written_out(spark):
+    points = spark.createDataFrame(walked(random.Random(5), 300), "k string, s long, day date, price long")
+    last = F.lit("2024-09-29").cast("date")
+    moves = history.weekly_moves(history.weekly_values(points, ["k", "s"], last), ["k", "s"])
+    want = moves.groupBy("k", "sunday").agg(F.count_if(F.col("after") != F.col("before")).alias("moved"), F.count("*").alias("compared"))
+    got = history.weekly_moved(points, ["k", "s"], ["k"], last)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Generate explode(sequence") == 1
