@@ -105,3 +105,14 @@ def test_weeks_are_counted_without_being_written_out(spark):
     got = history.weekly_moved(points, ["k", "s"], ["k"], last)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Generate explode(sequence") == 1
+
+
+def test_sums_of_filled_series_are_running_sums(spark):
+    rows = walked(random.Random(8), 20)
+    points = spark.createDataFrame(rows, "k string, s long, day date, price long")
+    grid = points.select("k", "s").distinct().crossJoin(points.select("day").distinct()).join(points, ["k", "s", "day"], "left")
+    want = history.filled(grid, ["k", "s"], "price").groupBy("k", "day").agg(F.sum("price").alias("sum"), F.count("*").alias("n"))
+    got = history.filled_sums(points, ["k", "s"], ["k"], "price")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    # rows of joins are those of kinds and days, not of series and days
+    assert most_joined(history.filled_sums(points, ["k", "s"], ["k"], "price")) <= 2 * 20

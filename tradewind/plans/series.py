@@ -112,12 +112,7 @@ f AS (SELECT market, product_id, day, coalesce(last_value(price IGNORE NULLS) OV
 SELECT market, day, CAST(sum(price) AS BIGINT) AS basket, count(*) AS items FROM f GROUP BY 1, 2""")
 def basket_index(v):
     monthly = v.history.groupBy(*KEY, F.to_date(F.date_trunc("month", "day")).alias("day")).agg(F.min("price").alias("price"))
-    # months from first to last are an array, so the grid is an explode
-    months = F.array_sort(F.collect_set("day"))
-    all_months = monthly.agg(months.alias("days"))
-    grid = monthly.select(*KEY).distinct().join(F.broadcast(all_months)).select(*KEY, F.explode("days").alias("day"))
-    fill = history.filled(grid.join(monthly, [*KEY, "day"], "left"), KEY, "price")
-    return fill.groupBy("market", "day").agg(F.sum("price").alias("basket"), F.count("*").alias("items"))
+    return history.filled_sums(monthly, KEY, ["market"], "price").select("market", "day", F.col("sum").alias("basket"), F.col("n").alias("items"))
 
 
 @query(f"""recent AS (SELECT market, product_id, price FROM history WHERE day > {NOW} - INTERVAL 720 DAY AND day <= {NOW}),
