@@ -116,3 +116,18 @@ def test_sums_of_filled_series_are_running_sums(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     # rows of joins are those of kinds and days, not of series and days
     assert most_joined(history.filled_sums(points, ["k", "s"], ["k"], "price")) <= 2 * 20
+
+
+def test_daily_lows_shuffle_once_and_hash_nothing(spark):
+    rng = random.Random(11)
+    rows = [(rng.choice("ab"), rng.choice([None, 1, 2]), rng.randint(0, 4), rng.choice([None, 10, 20, 30]), rng.choice([True, False, None])) for _ in range(400)]
+    df = spark.createDataFrame(rows, "k string, day int, store long, price long, open boolean")
+    for which, fits in ((None, lambda r: True), (F.col("open"), lambda r: r[4] is True)):
+        found = history.daily_lows(df, ["k"], which)
+        want = set()
+        for k, day in {(r[0], r[1]) for r in rows}:
+            of = [r for r in rows if r[:2] == (k, day) and fits(r)]
+            want.add((k, day, min((r[3] for r in of if r[3] is not None), default=None), len({r[2] for r in of})))
+        assert {tuple(r) for r in found.collect()} == want
+        plan = history.change_points(found, ["k"])._jdf.queryExecution().executedPlan().toString()
+        assert "Aggregate" not in plan and plan.count("Exchange") == 1

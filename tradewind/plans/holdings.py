@@ -22,8 +22,8 @@ LOTS = """lots AS (SELECT o_custkey AS owner, market, l_partkey AS product_id, C
 
 
 def stocked(v):
-    rows = v.listing.join(v.store, "store").groupBy(*KEY, F.to_date("seen").alias("day"))
-    return rows.agg(F.min(F.when(F.col("in_stock"), F.col("price"))).alias("price"), F.countDistinct(F.when(F.col("in_stock"), F.col("store"))).alias("stores"))
+    rows = v.listing.join(v.store, "store").withColumn("day", F.to_date("seen"))
+    return history.daily_lows(rows, KEY, F.col("in_stock"))
 
 
 def lots(v):
