@@ -2,12 +2,13 @@
 
 import datetime
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from tradewind.functions import text as tx
-from tradewind.operators import history, phrases, resolve
-from tradewind.plans import registry
+from tradewind.operators import history, phrases, rekey, resolve
+from tradewind.plans import registry, views
 
 SF = "/root/testdata/sf0.001"
 
@@ -131,3 +132,8 @@ def test_daily_lows_shuffle_once_and_hash_nothing(spark):
         assert {tuple(r) for r in found.collect()} == want
         plan = history.change_points(found, ["k"])._jdf.queryExecution().executedPlan().toString()
         assert "Aggregate" not in plan and plan.count("Exchange") == 1
+
+
+def test_lines_and_not_their_stores_are_shuffled(spark):
+    plan = registry.queries()["best_basket_one_store"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(basket#\d+L, \d+\), REPARTITION", plan) and not re.search(r"hashpartitioning\(basket#\d+L, store", plan)

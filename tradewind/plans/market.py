@@ -212,6 +212,10 @@ def best_basket_split(v):
     return found.groupBy("basket").agg(F.count("*").alias("lines"), F.countDistinct("b.store").alias("stores"), F.sum(F.col("b.price") * F.col("qty")).alias("total"))
 
 
+#: Lines of baskets that a task sums over stores.
+LINES_A_TASK = 100_000
+
+
 def _baskets(v):
     orders, lines = v.raw("orders"), v.raw("lineitem")
     found = orders.join(lines, orders["o_orderkey"] == lines["l_orderkey"])
@@ -222,8 +226,14 @@ def _baskets(v):
 per AS (SELECT basket, store, count(*) AS lines, CAST(sum(price * qty) AS BIGINT) AS total FROM item i JOIN offer o ON o.product_id = i.product_id AND in_stock GROUP BY 1, 2)
 SELECT basket, store, lines, total FROM (SELECT *, row_number() OVER (PARTITION BY basket ORDER BY lines DESC, total, store) AS rn FROM per) WHERE rn = 1""")
 def best_basket_one_store(v):
-    per = _baskets(v).join(v.offer.where("in_stock"), "product_id").groupBy("basket", "store").agg(F.count("*").alias("lines"), F.sum(F.col("price") * F.col("qty")).alias("total"))
-    return ranking.first_per(per, ["basket"], [F.desc("lines"), F.asc("total"), F.asc("store")])
+    """A basket's lines are brought together with their offers still packed, so one row a line is shuffled and not one for each line and store."""
+    offers = v.offer.where("in_stock").groupBy("product_id").agg(F.collect_list(F.struct("store", "price")).alias("offers"))
+    lines = _baskets(v).join(offers, "product_id").select("basket", "qty", "offers")
+    # so many that the sums of a partition, some dozens of stores a line, fit a task
+    parts = max(int(v.spark.conf.get("spark.sql.shuffle.partitions")), v.raw("lineitem").count() // LINES_A_TASK + 1)
+    per = lines.repartition(parts, "basket").select("basket", "qty", F.inline("offers")).groupBy("basket", "store").agg(F.count("*").alias("lines"), F.sum(F.col("price") * F.col("qty")).alias("total"))
+    best = per.groupBy("basket").agg(F.min(F.struct((-F.col("lines")).alias("lines"), "total", "store")).alias("b"))
+    return best.select("basket", "b.store", (-F.col("b.lines")).alias("lines"), "b.total")
 
 
 @query("""SELECT id, pos FROM (SELECT unnest([901, 3, 44, 7, 12, 3]) AS id, unnest([0, 1, 2, 3, 4, 5]) AS pos) JOIN product USING (id)""")
