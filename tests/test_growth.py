@@ -137,3 +137,11 @@ def test_daily_lows_shuffle_once_and_hash_nothing(spark):
 def test_lines_and_not_their_stores_are_shuffled(spark):
     plan = registry.queries()["best_basket_one_store"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"hashpartitioning\(basket#\d+L, \d+\), REPARTITION", plan) and not re.search(r"hashpartitioning\(basket#\d+L, store", plan)
+
+
+def test_offers_are_worked_out_once_for_all_runs(spark, monkeypatch):
+    made, offer = [], views.Views.offer.fget
+    monkeypatch.setattr(views.Views, "offer", property(lambda self: made.append(1) or offer(self)))
+    found = registry.queries()["coverage_over_runs"](spark, SF)
+    assert len(made) == 1 and found.count() > 0
+    assert not any("lineitem" in f for f in found.inputFiles())
