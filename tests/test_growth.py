@@ -145,3 +145,14 @@ def test_offers_are_worked_out_once_for_all_runs(spark, monkeypatch):
     found = registry.queries()["coverage_over_runs"](spark, SF)
     assert len(made) == 1 and found.count() > 0
     assert not any("lineitem" in f for f in found.inputFiles())
+
+
+def test_groups_of_moves_are_folded_in_batches(spark):
+    n = 40
+    entities = spark.range(2 * n).selectExpr("id as entity", "concat('k', id) as key", "cast(null as string) as name_key")
+    # each even one moves to the key that the odd one behind it gives up
+    votes = spark.range(2 * n).selectExpr("id as entity", "if(id % 2 = 0, concat('k', id + 1), concat('f', id)) as key", "true as read")
+    moves = rekey.planned_moves(entities, votes)
+    assert "FlatMapGroupsInPandas" not in moves._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["entity"], r["old"], r["new"], r["turn"]) for r in moves.collect()}
+    assert got == {(i, f"k{i}", f"k{i + 1}" if i % 2 == 0 else f"f{i}", 2 - i % 2) for i in range(2 * n)}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,24 +70,32 @@ def planned_moves(entities: DataFrame, votes: DataFrame, passes: int = PASSES) -
     rows = movers.join(blocked, "entity", "left").join(group, entity == F.col("node"))
     rows = rows.select("root", "entity", "key", F.array_except("wants", F.coalesce("blocked", F.array().cast("array<string>"))).alias("wants"))
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("entity")
-        holders, done, out, turn = set(part["key"]), set(), [], 0
+    # groups are small and many: a batch of them is folded in plain Python, without a data frame for each
+    groups = rows.groupBy("root").agg(F.sort_array(F.collect_list(F.struct("entity", "key", "wants"))).alias("visits")).select("visits")
+
+    def fold(visits: list[dict]) -> list[tuple]:
+        holders, done, out = {x["key"] for x in visits}, set(), []
         for _ in range(passes):
             before = len(out)
-            for entity_, old, wants in zip(part["entity"], part["key"], part["wants"]):
-                if entity_ in done:
+            for x in visits:
+                if x["entity"] in done:
                     continue
-                new = next((k for k in wants if k not in holders), None)
+                new = next((k for k in x["wants"] if k not in holders), None)
                 if new is not None:
-                    holders.remove(old)
+                    holders.remove(x["key"])
                     holders.add(new)
-                    done.add(entity_)
-                    turn += 1
-                    out.append((entity_, old, new, turn))
+                    done.add(x["entity"])
+                    out.append((x["entity"], x["key"], new, len(out) + 1))
             if len(out) == before:
                 break
-        return pd.DataFrame(out, columns=["entity", "old", "new", "turn"])
+        return out
+
+    def fold_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            types = [batch.schema.field("visits").type.value_type.field("entity").type, pa.string(), pa.string(), pa.int64()]
+            moves = [m for visits in batch.column("visits").to_pylist() for m in fold(visits)]
+            columns = zip(*moves) if moves else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["entity", "old", "new", "turn"])
 
     kind = entities.schema["entity"].dataType.simpleString()
-    return rows.groupBy("root").applyInPandas(fold, f"entity {kind}, old string, new string, turn long")
+    return groups.mapInArrow(fold_all, f"entity {kind}, old string, new string, turn long")
