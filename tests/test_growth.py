@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tradewind.functions import text as tx
 from tradewind.operators import history, phrases, rekey, resolve
-from tradewind.plans import registry, views
+from tradewind.plans import discovery, registry, views
 
 SF = "/root/testdata/sf0.001"
 
@@ -156,3 +156,10 @@ def test_groups_of_moves_are_folded_in_batches(spark):
     assert "FlatMapGroupsInPandas" not in moves._jdf.queryExecution().optimizedPlan().toString()
     got = {(r["entity"], r["old"], r["new"], r["turn"]) for r in moves.collect()}
     assert got == {(i, f"k{i}", f"k{i + 1}" if i % 2 == 0 else f"f{i}", 2 - i % 2) for i in range(2 * n)}
+
+
+def test_lists_of_groups_are_worked_out_once_for_all_runs(spark, monkeypatch):
+    stored, write = [], discovery.settled
+    monkeypatch.setattr(discovery, "settled", lambda df, name: stored.append(name) or write(df, name))
+    found = registry.queries()["sets_found_over_runs"](spark, SF)
+    assert stored == ["groups", "known", "goods", "found", "found"] and found.count() > 0
