@@ -163,3 +163,11 @@ def test_lists_of_groups_are_worked_out_once_for_all_runs(spark, monkeypatch):
     monkeypatch.setattr(discovery, "settled", lambda df, name: stored.append(name) or write(df, name))
     found = registry.queries()["sets_found_over_runs"](spark, SF)
     assert stored == ["groups", "known", "goods", "found", "found"] and found.count() > 0
+
+
+def test_partitions_of_series_go_by_the_listings(spark, monkeypatch):
+    monkeypatch.setattr(views, "ROWS_A_TASK", 1000)
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    for name in ("closed_series", "daily_series"):
+        plan = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert re.search(rf"hashpartitioning\(market#\d+, product_id#\d+L, {lines // 1000 + 1}\)", plan)

@@ -23,7 +23,7 @@ LOTS = """lots AS (SELECT o_custkey AS owner, market, l_partkey AS product_id, C
 
 def stocked(v):
     rows = v.listing.join(v.store, "store").withColumn("day", F.to_date("seen"))
-    return history.daily_lows(rows, KEY, F.col("in_stock"))
+    return history.daily_lows(rows, KEY, F.col("in_stock"), parts=v.more_parts("lineitem"))
 
 
 def lots(v):
