@@ -171,3 +171,15 @@ def test_partitions_of_series_go_by_the_listings(spark, monkeypatch):
     for name in ("closed_series", "daily_series"):
         plan = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert re.search(rf"hashpartitioning\(market#\d+, product_id#\d+L, {lines // 1000 + 1}\)", plan)
+
+
+def test_series_are_closed_in_the_pass_that_finds_their_changes(spark):
+    points = spark.createDataFrame([(*r, i % 2) for i, r in enumerate(walked(random.Random(3), 40)) if r[1] > 1], "k string, s long, day date, price long, stores long")
+    odd = spark.createDataFrame([("a", 0, None, 5, 1), ("b", 1, None, None, 0), ("b", 1, datetime.date(2024, 1, 1), None, 0)], points.schema)
+    daily = points.unionByName(odd).repartition("k", "s")
+    want = history.closed(history.change_points(daily, ["k", "s"]), daily, ["k", "s"])
+    got = history.closed_change_points(daily, daily.select("day"), ["k", "s"])
+    assert got.dtypes == want.dtypes
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    plan = registry.queries()["closed_series"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION") == 1 and "Union" not in plan

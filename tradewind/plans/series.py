@@ -29,7 +29,7 @@ def change_points(v):
 
 @query(f"{POINTS},\nlast AS (SELECT market, product_id, max(day) AS d FROM history GROUP BY 1, 2)\nSELECT * FROM points UNION ALL SELECT market, product_id, CAST(d + INTERVAL 1 DAY AS DATE), NULL, 0 FROM last WHERE d < (SELECT max(day) FROM history)")
 def closed_series(v):
-    return history.closed(history.change_points(v.history, KEY), v.history, KEY)
+    return history.closed_change_points(v.history, v.listed, KEY)
 
 
 @query(f"""{POINTS},
