@@ -3,9 +3,12 @@
 import datetime
 import random
 import re
+import tracemalloc
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tradewind.functions import highlight
 from tradewind.functions import text as tx
 from tradewind.operators import history, phrases, rekey, resolve
 from tradewind.plans import discovery, registry, views
@@ -183,3 +186,17 @@ def test_series_are_closed_in_the_pass_that_finds_their_changes(spark):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     plan = registry.queries()["closed_series"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("REPARTITION") == 1 and "Union" not in plan
+
+
+def test_places_of_a_batch_are_plain_integers(spark):
+    n, each = 2000, 40
+    texts = pa.array(["de la " * each] * n)
+    tracemalloc.start()
+    found = highlight.marks(texts, ["de"], {})
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # 8 bytes a place, while arrays grow; a dict and two numbers would be over 200
+    assert peak < 30 * n * each
+    assert found.to_pylist() == [[{"start": 6 * i, "end": 6 * i + 2} for i in range(each)]] * n
+    plan = registry.queries()["highlighted"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "mark(" in plan and highlight.marks(pa.array([None, ""], pa.string()), ["de"], {}).to_pylist() == [[], []]

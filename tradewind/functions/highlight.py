@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,13 +54,25 @@ def ranges(text: str | None, words: list[str], known: dict[str, str]) -> list[tu
     return out
 
 
+def marks(texts: pa.Array, words: list[str], known: dict[str, str]) -> pa.Array:
+    """ranges() of each text as Arrow lists. Python holds one text and its places at a time; those of all are kept as plain integers."""
+    starts, ends, offsets = array("i"), array("i"), array("i", [0])
+    for text in texts:
+        for start, end in ranges(text.as_py(), words, known):
+            starts.append(start)
+            ends.append(end)
+        offsets.append(len(starts))
+    whole = lambda x: pa.Array.from_buffers(pa.int32(), len(x), [None, pa.py_buffer(x)])
+    return pa.ListArray.from_arrays(whole(offsets), pa.StructArray.from_arrays([whole(starts), whole(ends)], ["start", "end"]))
+
+
 def highlight(text: Column, words: list[str]) -> Column:
     """array<struct<start, end>> of code points; null and empty texts have none. The words are folded as the texts are."""
     wanted = sorted({f for w in words if (f := "".join(map(folded, w)))})
 
-    def mark(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def mark(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known: dict[str, str] = {}
         for part in texts:
-            yield pd.Series([[{"start": a, "end": b} for a, b in ranges(t, wanted, known)] for t in part])
+            yield marks(part, wanted, known)
 
-    return F.pandas_udf(mark, RANGES)(text)
+    return F.arrow_udf(mark, RANGES)(text)
