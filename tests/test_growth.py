@@ -200,3 +200,10 @@ def test_places_of_a_batch_are_plain_integers(spark):
     assert found.to_pylist() == [[{"start": 6 * i, "end": 6 * i + 2} for i in range(each)]] * n
     plan = registry.queries()["highlighted"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "mark(" in plan and highlight.marks(pa.array([None, ""], pa.string()), ["de"], {}).to_pylist() == [[], []]
+
+
+def test_partitions_of_stores_go_by_the_listings(spark, monkeypatch):
+    monkeypatch.setattr(views, "ROWS_A_TASK", 1000)
+    parts = spark.read.parquet(f"{SF}/lineitem.parquet").count() // 1000 + 1
+    found = registry.queries()["usual_seen_day"](spark, SF)
+    assert re.search(rf"hashpartitioning\(store#\d+L, {parts}\)", found._jdf.queryExecution().executedPlan().toString())

@@ -92,7 +92,9 @@ def top_stores(v):
 
 @query("SELECT store, seen, n FROM (SELECT *, row_number() OVER (PARTITION BY store ORDER BY n DESC, seen DESC) AS rn FROM (SELECT store, CAST(seen AS DATE) AS seen, count(*) AS n FROM offer GROUP BY 1, 2)) WHERE rn = 1")
 def usual_seen_day(v):
-    return ranking.mode_of(v.offer.select("store", F.to_date("seen").alias("seen")), ["store"], "seen")
+    """Offers of a store are counted in partitions that go by the listings: few bytes of a shuffle are many days to count."""
+    days = stats.best_offers(v.listing).select("store", F.to_date("seen").alias("seen")).repartition(*filter(None, [v.more_parts("lineitem")]), "store")
+    return ranking.mode_of(days.join(v.store.select("store"), "store"), ["store"], "seen")
 
 
 @query("""SELECT market, product_type, array_to_string(list_sort(list(DISTINCT set_code)), ',') AS sets, array_to_string(list_sort(list(DISTINCT set_code) FILTER (in_stock_stores > 0)), ',') AS open_sets FROM card GROUP BY 1, 2""")
