@@ -12,6 +12,7 @@ from tradewind.functions import highlight
 from tradewind.functions import text as tx
 from tradewind.operators import history, phrases, rekey, resolve
 from tradewind.plans import discovery, registry, views
+from tradewind.plans import holdings as holding_plans
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,6 +35,23 @@ def most_joined(df) -> int:
     return walk(df._jdf.queryExecution().executedPlan())
 
 
+def most_shuffled(df) -> int:
+    """The rows of all shuffles of a query, after running it."""
+    df.collect()
+
+    def walk(node):
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(node.executedPlan())
+        if "QueryStage" in name:
+            return walk(node.plan())
+        rows = node.metrics().get("shuffleRecordsWritten")
+        below = node.children()
+        return (rows.get().value() if rows.isDefined() else 0) + sum(walk(below.apply(i)) for i in range(below.size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
 def test_every_product_has_a_class(spark):
     found = registry.queries()["alike_but_for_noise"](spark, SF).collect()
     assert len(found) == spark.read.parquet(f"{SF}/part.parquet").count()
@@ -207,3 +225,29 @@ def test_partitions_of_stores_go_by_the_listings(spark, monkeypatch):
     parts = spark.read.parquet(f"{SF}/lineitem.parquet").count() // 1000 + 1
     found = registry.queries()["usual_seen_day"](spark, SF)
     assert re.search(rf"hashpartitioning\(store#\d+L, {parts}\)", found._jdf.queryExecution().executedPlan().toString())
+
+
+def test_a_lot_is_shuffled_to_its_order_its_item_and_its_owner(spark, monkeypatch):
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    orders = spark.read.parquet(f"{SF}/orders.parquet").count()
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = registry.queries()["holdings_on_looks"](spark, SF)
+        # besides orders and half of the listings, which are in stock, and some rows of small tables
+        assert most_shuffled(found) < 3 * lines + orders + 0.6 * lines + 500
+        want = sorted(map(str, found.collect()))
+        monkeypatch.setattr(holding_plans, "BROADCAST_STORES", 0)
+        apart = registry.queries()["holdings_on_looks"](spark, SF)
+        assert "l_suppkey" in "".join(re.findall(r"hashpartitioning\(([^)]*)", apart._jdf.queryExecution().executedPlan().toString()))
+        assert sorted(map(str, apart.collect())) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_lots_and_their_owners_are_dealt_by_the_listings(spark, monkeypatch):
+    monkeypatch.setattr(views, "ROWS_A_TASK", 1000)
+    parts = spark.read.parquet(f"{SF}/lineitem.parquet").count() // 1000 + 1
+    plan = registry.queries()["holdings_on_looks"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"hashpartitioning\((?:owner|place)#[^)]*\)", plan)
+    assert len(dealt) == 3 and all(x.endswith(f", {parts})") for x in dealt)

@@ -130,6 +130,22 @@ def test_empty_tables_and_nulls(spark):
     assert told == {"x": (on(2), 10, None), None: (on(9), 10, None)}
 
 
+def test_worth_on_the_days_of_lots_with_long_numbers(spark):
+    points = spark.createDataFrame([("A", 1, None, 3, 1), ("A", 1, on(5), 10, 1), ("A", 1, on(8), 2**33, 1), ("A", 1, on(9), 7, 1), ("A", 2, None, 5, 1)], POINTS)
+    lots = [("x", "A", 1, on(2), 2, 4), ("x", "A", 1, on(8), 1, 2**40), ("x", "A", 2, on(9), 2**35, 6), ("x", "A", 2, on(10), 1, None), (None, "A", 1, on(3), 1, 1), ("x", "A", 1, None, 1, 1)]
+    held = spark.createDataFrame(lots, LOTS)
+    # the price of a day that is not known is never that of a lot
+    want = {
+        on(2): (2, 20, 0, 8, 20), on(8): (3, 3 * 2**33, 0, 8 + 2**40, 3 * 2**33),
+        on(9): (3 + 2**35, 21, 1, 8 + 2**40, 21), on(10): (4 + 2**35, 21, 1, 8 + 2**40, 21),
+    }
+    for parts in (None, 3):
+        found = holdings.worth_at(held, points, None, "owner", "place", "item", parts)
+        assert {(r["owner"], r["day"]): tuple(r)[3:] for r in found.collect()} == {("x", day): v for day, v in want.items()}
+    asked = spark.createDataFrame([("x", "A", d) for d in want], LOOKS)
+    assert {r["day"]: tuple(r)[3:] for r in holdings.worth_at(held, points, asked, "owner", "place", "item").collect()} == want
+
+
 def test_notices_and_their_stream_tell_alike(spark, tmp_path):
     rng = random.Random(3)
     readings = [("A", i, d, rng.choice([0, 0, 2, 5]), rng.randrange(100, 900)) for d in range(24) for i in range(5)]

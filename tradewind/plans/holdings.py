@@ -8,6 +8,8 @@ from tradewind.operators import history, holdings
 from tradewind.plans.registry import query
 
 KEY = ["market", "product_id"]
+#: Stores up to this number are broadcast, some 50 MB; more are joined by a shuffle of all lines.
+BROADCAST_STORES = 1_000_000
 LAST = "DATE '1998-06-30'"
 last = lambda: F.lit("1998-06-30").cast("date")
 
@@ -26,15 +28,34 @@ def stocked(v):
     return history.daily_lows(rows, KEY, F.col("in_stock"), parts=v.more_parts("lineitem"))
 
 
+def paid():
+    return F.floor(F.lit(100) * F.col("l_extendedprice") / F.col("l_quantity") + 0.5).cast("long")
+
+
 def lots(v):
-    paid = F.floor(F.lit(100) * F.col("l_extendedprice") / F.col("l_quantity") + 0.5).cast("long")
     rows = v.raw("lineitem").join(v.raw("orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(v.store, F.col("store") == F.col("l_suppkey"))
     return rows.select(
         F.col("o_custkey").alias("owner"), "market", F.col("l_partkey").alias("product_id"), F.to_date("o_orderdate").alias("day"),
-        F.col("l_quantity").cast("long").alias("qty"), F.when(F.col("l_orderkey") % 7 != 0, paid).alias("cents"),
+        F.col("l_quantity").cast("long").alias("qty"), F.when(F.col("l_orderkey") % 7 != 0, paid()).alias("cents"),
     )
 
 
+def placed_lots(v, stores):
+    """lots() by place. Lines meet the stores first, so that only what a lot has is shuffled to the orders."""
+    lines = v.raw("lineitem").join(stores, F.col("l_suppkey") == F.col("store")).select(
+        "l_orderkey", "place", F.col("l_partkey").alias("product_id"), F.col("l_quantity").cast("long").alias("qty"), F.when(F.col("l_orderkey") % 7 != 0, paid()).alias("cents"))
+    orders = v.raw("orders").select("o_orderkey", F.col("o_custkey").alias("owner"), F.to_date("o_orderdate").alias("day"))
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("owner", "place", "product_id", "day", "qty", "cents")
+
+
+def lows_in_stock(v, stores, parts):
+    """(place, product_id, day, price): days on which the lowest price in stock changes. Days with sold out listings only have none, so these are not shuffled."""
+    key = ["place", "product_id"]
+    rows = v.listing.where("in_stock and price is not null").join(stores, "store").select(*key, F.to_date("seen").alias("day"), "price")
+    lows = rows.repartition(*filter(None, [parts]), *key).groupBy(*key, "day").agg(F.min("price").alias("price"))
+    return history.change_points(lows, key, values=("price",))
+
+
 @query(f"""{LOTS},
 {STOCKED},
 prices AS (SELECT market, product_id, day, price FROM stocked WHERE price IS NOT NULL),
@@ -51,10 +72,15 @@ SELECT *, CASE WHEN last_worth > 0 THEN CAST(floor((worth - last_worth) / last_w
   CASE WHEN paid > 0 THEN CAST(floor((worth_paid - paid) / paid * 100 + 0.5) AS BIGINT) END AS percent_added FROM b""")
 def holdings_on_looks(v):
     """What each customer holds in a market is worth, on every day on which they ordered there, against the look before and what was paid."""
-    held = lots(v)
-    points = history.change_points(stocked(v), KEY)
-    worth = holdings.worth_at(held, points, held.select("owner", "market", "day"), "owner", "market", "product_id")
-    return holdings.since_last(worth, "owner", "market")
+    # a place is the number of its market: names would be a third of what is shuffled
+    names = F.broadcast(v.raw("region").agg(F.array_sort(F.collect_set("r_name")).alias("names")))
+    stores = v.store.join(names).select("store", F.array_position("names", F.col("market")).cast("int").alias("place")).where("place is not null")
+    if v.raw("supplier").count() <= BROADCAST_STORES:
+        stores = F.broadcast(stores)
+    parts = v.more_parts("lineitem")
+    worth = holdings.worth_at(placed_lots(v, stores), lows_in_stock(v, stores, parts), None, "owner", "place", "product_id", parts)
+    found = holdings.since_last(worth, "owner", "place").join(names)
+    return found.select("owner", F.element_at("names", F.col("place")).alias("market"), *[c for c in found.columns if c not in ("owner", "place", "names")])
 
 
 @query(f"""{STOCKED},
